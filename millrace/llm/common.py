@@ -78,3 +78,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         then = saved(best.select("hi", F.col("m").alias("lo")).union(small).distinct())
         drop_saved(now)
         now = then
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import mixing, quality, simhash
 from .common import documents
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(documents(spark, sf_dir))
+
+
 def op9_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(documents(spark, sf_dir))
 
@@ -16,5 +20,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op9_fair_mix, op10_simhash)}
-ORACLE_SQL = {"op9_fair_mix": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_fair_mix, op10_simhash)}
+ORACLE_SQL = {"op7_quality_rules": quality.QUALITY_SQL, "op9_fair_mix": mixing.MIX_SQL}
