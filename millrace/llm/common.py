@@ -83,3 +83,52 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it, inside lambdas too."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def normal(text: Column) -> Column:
+    """Lower case, and one space for every run of what is neither letter nor digit; empty for null."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def simhash(hashes: Column) -> Column:
+    """The 64-bit SimHash of an array of long hashes: a bit is 1 if it is set in over half of them; 0 for none.
+
+    Eight sums each count eight bits in the bytes of a long, for at most 127 hashes at once; longer arrays are counted
+    in pieces whose bytes are then added up bit by bit.
+    """
+    ones = 0x0101010101010101
+    most = 127
+    adding = lambda s: lambda a, x: a + F.shiftright(x, s).bitwiseAND(F.lit(ones))
+    sums = lambda h: F.array(*[F.aggregate(h, F.lit(0).cast("long"), adding(s)) for s in range(8)])
+
+    def short(h: Column) -> Column:
+        """A byte holds more than half of n once adding 127 - floor(n / 2) reaches its top bit; at most 254 in all, so nothing carries over."""
+        n = F.size(h)
+
+        def bits(c: Column) -> Column:
+            add = [F.lit(ones & (2**56 - 1)) * (127 - F.floor(n / 2))]
+            out = F.lit(0).cast("long")
+            for s in range(8):
+                low = F.get(c, F.lit(s)).bitwiseAND(F.lit(2**56 - 1)) + add[0]
+                top = F.shiftrightunsigned(F.get(c, F.lit(s)), 56) > F.floor(n / 2)
+                got = F.shiftrightunsigned(low.bitwiseAND(F.lit(0x80808080808080)), 7).bitwiseOR(F.when(top, F.lit(1 << 56)).otherwise(F.lit(0)))
+                out = out.bitwiseOR(F.shiftleft(got, s))
+            return out
+
+        return let(sums(h), bits)
+
+    counting = lambda i: lambda a, c: a + F.shiftrightunsigned(F.get(c, F.lit(i % 8)), i // 8 * 8).bitwiseAND(F.lit(255))
+
+    def long(h: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / most).cast("int")), lambda i: sums(F.slice(h, i * most + 1, F.lit(most))))
+
+        def bits(p: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for i in range(64):
+                total = F.aggregate(p, F.lit(0).cast("long"), counting(i))
+                out = out.bitwiseOR(F.when(total * 2 > F.size(h), F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")).otherwise(F.lit(0)))
+            return out
+
+        return let(pieces, bits)
+
+    return let(hashes, lambda h: F.when(F.size(h) == 0, F.lit(0).cast("long")).when(F.size(h) <= most, short(h)).otherwise(long(h)))

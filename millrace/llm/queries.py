@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, simhash
+from . import line_dedup, mixing, quality, simhash
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_table(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(documents(spark, sf_dir))
 
@@ -20,5 +24,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_fair_mix, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op7_quality_rules, op9_fair_mix, op10_simhash)}
 ORACLE_SQL = {"op7_quality_rules": quality.QUALITY_SQL, "op9_fair_mix": mixing.MIX_SQL}
