@@ -72,7 +72,7 @@ def thresholds(found: DataFrame) -> DataFrame:
 
     A group of fewer than FEWEST documents takes its language's merged sketch, and that of all where that is small too.
     """
-    groups = found.select("lang", "source").distinct()
+    groups = found.select("lang", "source").distinct().withColumn("measure", F.explode(F.array(*[F.lit(k) for k in MEASURES])))
 
     def bounds(some: DataFrame, by: list[str]) -> DataFrame:
         some = some.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
@@ -84,7 +84,7 @@ def thresholds(found: DataFrame) -> DataFrame:
     own = bounds(found, ["lang", "source"]).alias("o")
     tongue = bounds(found, ["lang"]).alias("t")
     every = bounds(found, []).alias("e")
-    joined = groups.alias("g").join(every).join(tongue, F.col("g.lang").eqNullSafe(F.col("t.lang")) & (F.col("e.measure") == F.col("t.measure")))
+    joined = groups.alias("g").join(every, F.col("g.measure") == F.col("e.measure")).join(tongue, F.col("g.lang").eqNullSafe(F.col("t.lang")) & (F.col("e.measure") == F.col("t.measure")))
     joined = joined.join(own, F.col("g.lang").eqNullSafe(F.col("o.lang")) & F.col("g.source").eqNullSafe(F.col("o.source")) & (F.col("e.measure") == F.col("o.measure")))
     pick = lambda c: F.when(F.col("o.docs") >= FEWEST, F.col(f"o.{c}")).when(F.col("t.docs") >= FEWEST, F.col(f"t.{c}")).otherwise(F.col(f"e.{c}"))
     least = F.create_map(*[F.lit(x) for kv in LEAST.items() for x in kv])[F.col("e.measure")]
