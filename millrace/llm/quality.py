@@ -41,7 +41,7 @@ def measures(text: Column) -> Column:
         lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         sizes = lambda some: F.struct(F.size(some).alias("lines"), (F.size(some) - F.size(F.array_distinct(some))).alias("dup"))
         each = lambda n, own: F.struct(
-            long(n).alias("n_words"), long(F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).alias("word_chars"), long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
+            long(n).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), long(F.regexp_count(text, F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
             long(own["dup"]).alias("n_dup_lines"), long(own["lines"]).alias("n_lines"), long(repeats(w, n)).alias("n_repeat_words"), long(F.regexp_count(text, F.lit(r"\p{Lu}"))).alias("n_upper"),
         )
         return let(F.size(w), lambda n: let(sizes(lines), lambda own: each(n, own)))
@@ -101,10 +101,12 @@ def judged(docs: DataFrame) -> DataFrame:
     Null and empty texts fail the base rules; null languages and sources are groups like any other; repeated rows are
     judged alike; a group without a document that passes the base rules has no thresholds and keeps nothing.
     """
-    spark = docs.sparkSession
-    rows = measured(docs)
-    lean = measured(docs.select("lang", "source", "text")).drop("m").select(F.struct("doc.lang", "doc.source").alias("doc"), "base_failed", *MEASURES)
-    found = saved(sketches(lean))
+    return _judged(measured(docs), measured(docs.select("lang", "source", "text")))
+
+
+def _judged(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """judged() of rows; counted has the same measures and doc.lang and doc.source."""
+    found = saved(sketches(counted))
     flat = thresholds(found).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col(b))).alias(f"{k}_{b}") for k in MEASURES for b in ("low", "high")])
     flat = saved(flat.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
     ok = (F.col("word_length") >= F.col("word_length_low")) & (F.col("word_length") <= F.col("word_length_high"))
@@ -117,7 +119,9 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def quality_table(docs: DataFrame) -> DataFrame:
     """The counts and the verdict for every row of docs."""
-    return judged(docs.select("doc_id", "lang", "source", "text")).select("doc.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+    rows = measured(docs.select("doc_id", "lang", "source", "text"))
+    rows = saved(rows.withColumn("doc", F.struct("doc.doc_id", "doc.lang", "doc.source")))
+    return _judged(rows, rows).select("doc.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
