@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words; a word is a longest run of other characters.
@@ -132,3 +132,26 @@ def simhash(hashes: Column) -> Column:
         return let(pieces, bits)
 
     return let(hashes, lambda h: F.when(F.size(h) == 0, F.lit(0).cast("long")).when(F.size(h) <= most, short(h)).otherwise(long(h)))
+
+
+def sent_if_small(df: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows; callers pass rows of two or three numbers, 64 MB at the most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def sample_step(df: DataFrame, bound: int) -> int:
+    """The m for which about `bound` rows of df have a key hash divisible by m."""
+    return max(1, -(-df.count() // bound))
+
+
+def first_rows(df: DataFrame, order: list[Column], k: int):
+    """The k-th row of df in the given order, or None if df has no more than k rows: all is range-sorted, only one part is ranked."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    left = k
+    for part, n in sorted(dealt.groupBy("_part").count().collect()):  # one row per part
+        if n >= left > 0:
+            at = Window.partitionBy("_part").orderBy(*order)
+            return dealt.where(F.col("_part") == part).withColumn("_rank", F.row_number().over(at)).where(F.col("_rank") == left).drop("_part", "_rank").first()
+        left -= n
+    return None
