@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, line_dedup, mixing, quality, simhash, toxicity
+from . import decontaminate, importance, language, line_dedup, mixing, quality, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_table(documents(spark, sf_dir))
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_table(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_table(documents(spark, sf_dir))
 
@@ -36,5 +44,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op5_language_id, op6_decontaminate, op7_quality_rules, op8_toxicity, op9_fair_mix, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_importance, op4_token_counts, op5_language_id, op6_decontaminate, op7_quality_rules, op8_toxicity, op9_fair_mix, op10_simhash)}
 ORACLE_SQL = {"op7_quality_rules": quality.QUALITY_SQL, "op9_fair_mix": mixing.MIX_SQL}
