@@ -1 +1 @@
-
+"""Column functions: money, time, risk, text, vectors."""

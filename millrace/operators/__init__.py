@@ -1 +1 @@
-
+"""Operators of the exchange: DataFrames in, lazy DataFrames out."""

@@ -1 +1 @@
-
+"""Readers and writers of the exchange's formats."""
