@@ -18,6 +18,8 @@ WINDOW, ANCHOR = 13, 5
 SHARD_WORDS = 100_000
 #: A passage anchor met more often is dealt window by window, so that no shard depends on one anchor.
 HOT = 20_000
+#: Passages that a task holds before it hands them on.
+PASSAGES = 20_000
 #: Line numbers of removals up to this many are sent to every executor; more are joined by shuffle.
 MOST_SENT = 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -167,21 +169,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
     per = saved(runs.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "anchor", "hot")).alias("runs")))
     per = per.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     few = (per.agg(F.sum(F.size("runs") * 3 + 4)).first()[0] or 0) <= MOST_SENT
-    again = some.join(F.broadcast(per) if few else per, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", "runs")
+    again = some.join(F.broadcast(per) if few else per, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", *[F.col(f"runs.{c}").alias(c) for c in ("first", "last", "anchor", "hot")])
 
     def passages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "content", "doc_id", "text_hash", "at"]
         for part in parts:
-            out = []
-            for doc, code, text, runs_ in zip(part.doc_id, part.text_hash, part.text, part.runs, strict=True):
+            out: list[tuple] = []
+            for doc, code, text, *runs_ in part.itertuples(index=False, name=None):
                 words = _words(text)
-                for r in runs_:
-                    if r["hot"]:
-                        for k in range(r["first"], r["last"] + 1):
+                for first, last, anchor, hot in zip(*runs_, strict=True):
+                    if hot:
+                        for k in range(first, last + 1):
                             one = b" ".join(words[k : k + window])
                             out.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), one, doc, code, k))
                     else:
-                        out.append((r["anchor"], b" ".join(words[r["first"] : r["last"] + window]), doc, code, r["first"]))
-            yield pd.DataFrame(out, columns=["key", "content", "doc_id", "text_hash", "at"])
+                        out.append((anchor, b" ".join(words[first : last + window]), doc, code, first))
+                if len(out) > PASSAGES:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash long, at int").withColumn("code", F.xxhash64("content")))
     distinct = saved(met.groupBy("key", "code", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
