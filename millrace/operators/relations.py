@@ -210,8 +210,8 @@ def hw_rank(c):
 @query(f"SELECT j.id, EXISTS (SELECT 1 FROM {LIVE} w WHERE w.effective_gb >= j.min_memory_gb AND {RANK.format('w.hw_class')} < 2) AS cheaper FROM jobs j WHERE j.status = 'queued'")
 def jn_theta_cheaper(e: Exchange) -> DataFrame:
     """Is there a live worker of a cheaper class with the memory: one least rank per whole number of GB decides all jobs."""
-    gb = live_workers(e).select(F.floor("effective_gb").alias("gb"), hw_rank(F.col("hw_class")).alias("rank")).where("gb >= 1")
-    per = gb.select(F.explode(F.sequence(F.lit(1).cast("long"), F.least("gb", F.lit(8)))).alias("min_memory_gb"), "rank").groupBy("min_memory_gb").agg(F.min("rank").alias("rank"))
+    gb = live_workers(e).select(F.floor("effective_gb").cast("int").alias("gb"), hw_rank(F.col("hw_class")).alias("rank")).where("gb >= 1")
+    per = gb.select(F.explode(F.sequence(F.lit(1), F.least("gb", F.lit(8)))).alias("min_memory_gb"), "rank").groupBy("min_memory_gb").agg(F.min("rank").alias("rank"))
     return e.jobs.where("status = 'queued'").join(per, "min_memory_gb", "left").select("id", F.coalesce(F.col("rank") < 2, F.lit(False)).alias("cheaper"))
 
 

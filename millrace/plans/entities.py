@@ -21,7 +21,7 @@ ENTITIES = {
     "suppliers": """SELECT s_suppkey AS id, s_nationkey AS nation, CAST(((s_suppkey * 7919) % 1000) / 1000.0 AS DOUBLE) AS reputation, (s_suppkey * 131) % 6000 AS completed_tasks,
         CASE WHEN s_suppkey % 10 = 0 THEN 'suspended' WHEN s_suppkey % 17 = 3 THEN 'banned' ELSE 'active' END AS status, s_suppkey % 3 <> 0 AS payouts_enabled, s_suppkey * 13 % 1500 AS buyer_id FROM supplier""",
     "workers": f"""SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) AS supplier_id, CASE p_size % 4 WHEN 0 THEN 'cpu' WHEN 1 THEN 'base' WHEN 2 THEN 'pro' ELSE 'max' END AS hw_class,
-        CASE WHEN p_partkey % 3 = 0 THEN 'metal' ELSE 'cuda' END AS engine, concat('b', CAST(p_partkey % 5 AS STRING)) AS build_hash, CAST(p_size AS DOUBLE) AS memory_gb, p_size * 0.75 AS effective_gb,
+        CASE WHEN p_partkey % 3 = 0 THEN 'metal' ELSE 'cuda' END AS engine, concat('b', CAST(p_partkey % 5 AS STRING)) AS build_hash, CAST(p_size AS DOUBLE) AS memory_gb, CAST(p_size * 0.75 AS DOUBLE) AS effective_gb,
         p_retailprice / 10 AS tps, p_partkey % 17 = 0 AS throttled, p_partkey % 19 = 0 AS thermal_degraded, TS({AS_OF} - p_partkey % 120) AS last_seen_at FROM part""",
     "buyers": "SELECT c_custkey AS id, CAST(floor(greatest(c_acctbal, 0) * 1000) AS BIGINT) AS free_credit_micros, c_custkey % 4 <> 0 AS has_payment_method FROM customer",
     "models": """SELECT * FROM (VALUES ('all-minilm-l6-v2', 'embed', CAST(0.02 AS DOUBLE), CAST(2 AS DOUBLE)), ('llama-3.2-1b-instruct-q4', 'batch_infer', CAST(0.2 AS DOUBLE), CAST(4 AS DOUBLE))) AS m(id, job_type, price_per_1k, min_memory_gb)""",
