@@ -99,13 +99,13 @@ def token_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             sizes, tokens = [], []
             for text in part.text:
                 own = [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
-                new = {MARK + w for w in set(own)} - known.keys()
-                if len(known) + len(new) > MEMO:
+                distinct = set(own)
+                if len(known) + len(distinct) > MEMO:
                     known.clear()
-                    new = {MARK + w for w in set(own)}
-                known.update(trie_counts(new, root, byte))
+                new = {MARK + w for w in distinct if w not in known}
+                known.update((w[1:], n) for w, n in trie_counts(new, root, byte).items())
                 sizes.append(len(own))
-                tokens.append(sum(known[MARK + w] for w in own))
+                tokens.append(sum(map(known.__getitem__, own)))
             yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64"), "n_pretokens": sizes, "n_tokens": tokens})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
