@@ -1,6 +1,6 @@
 """All registered queries: importing this package imports every module that registers some."""
 
-from ..operators import aggregates, relations, scalars  # noqa: F401
+from ..operators import aggregates, decisions, relations, scalars  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
