@@ -1,6 +1,7 @@
 """All registered queries: importing this package imports every module that registers some."""
 
-from ..operators import aggregates, decisions, relations, scalars, sweeps  # noqa: F401
+from ..operators import aggregates, decisions, records, relations, scalars, sweeps  # noqa: F401
+from ..streaming import flows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
