@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_path
+
 #: White space between words; a word is a longest run of other characters.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -28,22 +25,11 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = tempfile.mkdtemp(prefix="millrace-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def saved(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(at)
+    at = new_path(spark)
+    df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.saved_at = at
     return out

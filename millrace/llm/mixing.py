@@ -109,10 +109,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     times = mixture(docs).where("copies > 0").groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     times = times.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "_copies", "_rows")
-    names = [c for c in docs.columns if c != "copy"]
-    some = docs.join(saved(times), docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(docs.text) == F.col("_hash")) & docs.source.eqNullSafe(F.col("_source")))
-    each = lambda df: df.select(*[docs[c] for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
-    return each(some.where("_rows = 1")).union(each(some.where("_rows > 1").dropDuplicates(["doc_id", "source", "text"])))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("text").alias("t"))
+    some = rows.join(saved(times), F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash")) & F.col("s").eqNullSafe(F.col("_source")))
+    each = lambda df: df.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    return each(some.where("_rows = 1")).union(each(some.where("_rows > 1").dropDuplicates(["i", "s", "t"])))
 
 
 MIX_SQL = """

@@ -135,7 +135,8 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 5) -> DataFrame:
     keys = saved(keys.join(first, keys.doc_id.eqNullSafe(first.doc_id) & (keys.text_hash == first.text_hash)).select(keys.doc_id.alias("_id"), keys.text_hash.alias("_hash"), F.col("n").alias("_n")))
 
     def pick(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs.doc_id.eqNullSafe(some["_id"]) & (F.xxhash64(docs.text) == some["_hash"]), "left_semi")
+        rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
+        return rows.join(some, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash")), "left_semi")
 
     once, more = keys.where("_n = 1"), keys.where("_n > 1")
-    return pick(once).union(pick(more).dropDuplicates(["doc_id", "text"]))
+    return pick(once).union(pick(more).dropDuplicates(["i", "t"])).select("doc.*")
