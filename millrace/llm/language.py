@@ -48,7 +48,7 @@ def ngrams(text: str | None) -> np.ndarray | None:
 def codewords(n: int) -> np.ndarray:
     """n rows of -1 and 1. Up to 7 languages get every split in two; more get 10 log2(n) random bits, the best of 200 draws."""
     if n <= 7:
-        return np.array([[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for b in range(2 ** max(n - 1, 0) - 1)] for i in range(n)], int).reshape(n, -1)
+        return np.array([[1 if i == 0 or (b >> (i - 1)) & 1 else -1 for b in range(2 ** max(n - 1, 0) - 1)] for i in range(n)], int).reshape(n, 2 ** max(n - 1, 0) - 1)
     draw = np.random.default_rng(0)
     tries = [draw.choice([-1, 1], (n, 10 * int(np.ceil(np.log2(n))))) for _ in range(200)]
     apart = lambda c: min(((c[i] != c[i + 1 :]).sum(axis=1).min() for i in range(n - 1)), default=0)

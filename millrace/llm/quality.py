@@ -101,12 +101,12 @@ def judged(docs: DataFrame) -> DataFrame:
     Null and empty texts fail the base rules; null languages and sources are groups like any other; repeated rows are
     judged alike; a group without a document that passes the base rules has no thresholds and keeps nothing.
     """
-    return _judged(measured(docs), measured(docs.select("lang", "source", "text")))
+    return _judged(saved(measured(docs)))
 
 
-def _judged(rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """judged() of rows; counted has the same measures and doc.lang and doc.source."""
-    found = saved(sketches(counted))
+def _judged(rows: DataFrame) -> DataFrame:
+    """judged() of rows that are measured and written: filters would else be moved below the measures and take them twice."""
+    found = saved(sketches(rows))
     flat = thresholds(found).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col(b))).alias(f"{k}_{b}") for k in MEASURES for b in ("low", "high")])
     flat = saved(flat.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
     ok = (F.col("word_length") >= F.col("word_length_low")) & (F.col("word_length") <= F.col("word_length_high"))
@@ -121,7 +121,7 @@ def quality_table(docs: DataFrame) -> DataFrame:
     """The counts and the verdict for every row of docs."""
     rows = measured(docs.select("doc_id", "lang", "source", "text"))
     rows = saved(rows.withColumn("doc", F.struct("doc.doc_id", "doc.lang", "doc.source")))
-    return _judged(rows, rows).select("doc.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+    return _judged(rows).select("doc.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
