@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 #: Words of a window, and of the anchor that decides its shard.
 WINDOW, ANCHOR = 13, 5
@@ -164,7 +164,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
 
     runs = some.mapInPandas(cut, f"doc_id {kind}, text_hash long, anchor array<long>, first array<int>, last array<int>").where(F.size("anchor") > 0)
     runs = runs.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchor", "first", "last")).alias("r")).select("doc_id", "text_hash", "r.*")
-    runs = saved(runs)
+    with small_batches(docs.sparkSession):
+        runs = saved(runs)
     shared = saved(runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", (F.col("n") > HOT).alias("hot")))
     per = saved(runs.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "anchor", "hot")).alias("runs")))
     per = per.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
@@ -189,7 +190,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash long, at int").withColumn("code", F.xxhash64("content")))
+    with small_batches(docs.sparkSession):
+        met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash long, at int").withColumn("code", F.xxhash64("content")))
     distinct = saved(met.groupBy("key", "code", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
     total = distinct.agg(F.sum(F.size(F.split(F.col("content").cast("string"), " ")))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
@@ -237,7 +239,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def substring_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of what is kept."""
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    with small_batches(docs.sparkSession):
+        return saved(substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
 
 
 SUBSTRING_SQL = r"""

@@ -194,7 +194,7 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark):
 def test_quality_counts_by_hand(spark):
     docs = spark.createDataFrame([(1, "en", "s", "a b c a b c\na # c\n\na # c"), (2, None, None, None)], "doc_id long, lang string, source string, text string")
     got = {r.doc_id: tuple(r)[1:] for r in quality.quality_table(docs).collect()}
-    assert got == {1: (12, 12, 2, 1, 9, True, False), 2: (0, 0, 0, 0, 0, True, False)}
+    assert got == {1: (12, 12, 2, 1, 12, True, False), 2: (0, 0, 0, 0, 0, True, False)}
 
 
 # 8
