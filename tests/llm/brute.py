@@ -73,7 +73,7 @@ def line_dedup(docs, similarity=0.9, radius=3, least=3):
                 prints[n] = majority({xxhash.xxh64_intdigest(x.encode(), 42) for x in w})
                 places.setdefault(n, []).append((doc is None, doc or 0, no))
     keys = sorted(prints)
-    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if bin(prints[a] ^ prints[b]).count("1") <= radius and distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9)]
+    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if bin(prints[a] ^ prints[b]).count("1") <= radius and distance(a.split(" "), b.split(" ")) <= int(max(len(a.split(" ")), len(b.split(" "))) * (1 - similarity) + 1e-9)]
     group, first = groups(keys, pairs), {}
     for n, at in places.items():
         first[group[n]] = min([first.get(group[n], (2, 0, 0)), *at])
