@@ -25,6 +25,10 @@ MOST_SENT = 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Masks of the bits below each of 64.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A packed bit vector with the count of ones before each word: rank1(i) is the number of ones before i."""
 
@@ -32,12 +36,11 @@ class Bits:
         packed = np.zeros(bits.size // 64 * 8 + 8, np.uint8)
         packed[: (bits.size + 7) // 8] = np.packbits(bits, bitorder="little")
         self.words = packed.view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         at = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[at] + np.bitwise_count(self.words[at] & mask)
+        return self.before[at] + np.bitwise_count(self.words[at] & _BELOW[i & 63])
 
 
 class FMIndex:
@@ -56,32 +59,46 @@ class FMIndex:
             step *= 2
         self.suffixes = np.argsort(rank, kind="stable")
         symbols = text[self.suffixes - 1]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 1))])
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 1))]).astype(np.int32)
         self.levels: list[tuple[int, Bits, int]] = []
         for shift in range(max(int(text.max(initial=0)).bit_length(), 1) - 1, -1, -1):
             ones = (symbols >> shift) & 1
             self.levels.append((shift, Bits(ones.astype(bool)), int(n - ones.sum())))
             symbols = symbols[np.argsort(ones, kind="stable")]
-        self.first = np.arange(self.starts.size - 1)
+        self.first = np.arange(self.starts.size - 1, dtype=np.int32)
         self.first = self._down(self.first, np.zeros_like(self.first))
 
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for shift, bits, zeros in self.levels:
             ones = bits.rank1(at)
-            at = np.where((symbol >> shift) & 1, zeros + ones, at - ones)
+            at = np.where((symbol >> shift) & 1, np.int32(zeros) + ones, at - ones)
         return at
 
     def back(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Backward step: where the suffixes before `at` stand once `symbol` is put in front."""
         return self.starts[symbol] + self._down(symbol, at) - self.first[symbol]
 
-    def matches(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(matching statistic of each row's end: how many of its last symbols occur; interval of suffixes that start with them all, empty if they do not)."""
+    def matches(self, patterns: np.ndarray, alone: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many of its last symbols occur together, of each row; first and end of the suffixes that start with them).
+
+        A row is followed while more than `alone` suffixes match; with alone = 1, a pattern whose last symbols occur once is
+        left at that interval, which is enough to know that nothing else has it.
+        """
         n = len(patterns)
-        low, high, length = np.zeros(n, np.int64), np.full(n, self.suffixes.size), np.zeros(n, np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            low, high = self.back(patterns[:, j], low), self.back(patterns[:, j], high)
-            length += high > low
+        low, high, length = self.starts[patterns[:, -1]], self.starts[patterns[:, -1] + 1], np.ones(n, np.int64)
+        going = np.flatnonzero(high - low > alone)
+        length[high <= low] = 0
+        for j in range(patterns.shape[1] - 2, -1, -1):
+            symbol = patterns[going, j]
+            both = self.back(np.concatenate([symbol, symbol]), np.concatenate([low[going], high[going]]))
+            lo, hi = both[: going.size], both[going.size :]
+            there = hi > lo
+            at = going[there]
+            low[at], high[at] = lo[there], hi[there]
+            length[at] += 1
+            going = at[(hi - lo)[there] > alone]
+            if not going.size:
+                break
         return length, low, high
 
 
@@ -109,10 +126,8 @@ def owners(contents: list[list[bytes]], least: np.ndarray, window: int) -> list[
     of = np.repeat(np.arange(len(contents)), sizes)
     begins = np.arange(text.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     starts = np.flatnonzero(begins + window < sizes[of])
-    length, low, high = index.matches(np.lib.stride_tricks.sliding_window_view(text, window)[starts])
-    full = length >= window
-    assert full.all()  # each content is in the index itself
-    best = least_between(least[of][index.suffixes], low, high)
+    length, low, high = index.matches(np.lib.stride_tricks.sliding_window_view(text.astype(np.int32), window)[starts], alone=1)
+    best = np.where(length >= window, least_between(least[of][index.suffixes], low, high), least[of[starts]])  # what occurs once is its own
     return np.split(best, np.cumsum(sizes - window)[:-1])
 
 
@@ -154,20 +169,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
     in proportion to the words; documents without doc_id are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.hash("text").alias("text_hash"), "text")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, int] = {}
         for part in parts:
             found = [anchors(_words(t), memo, window, size) for t in part.text]
-            yield pd.DataFrame({"doc_id": part.doc_id, "text_hash": part.text_hash, "anchor": [f[0] for f in found], "first": [f[1] for f in found], "last": [f[2] for f in found]})
+            spots = [(int(code) << 32) | (f[1] << 5) | (f[2] - f[1] + 1) for code, f in zip(part.text_hash, found, strict=True)]
+            once = [np.isin(np.arange(f[0].size), np.unique(f[0], return_index=True)[1]) for f in found]
+            yield pd.DataFrame({"doc_id": part.doc_id, "anchor": [f[0] for f in found], "spot": spots, "once": once})
 
-    runs = some.mapInPandas(cut, f"doc_id {kind}, text_hash long, anchor array<long>, first array<int>, last array<int>").where(F.size("anchor") > 0)
-    runs = runs.select("doc_id", "text_hash", F.explode(F.arrays_zip("anchor", "first", "last")).alias("r")).select("doc_id", "text_hash", "r.*")
+    runs = some.mapInPandas(cut, f"doc_id {kind}, anchor array<long>, spot array<long>, once array<boolean>").where(F.size("anchor") > 0)
+    runs = runs.select("doc_id", F.explode(F.arrays_zip("anchor", "spot", "once")).alias("r")).select("doc_id", "r.*")
     with small_batches(docs.sparkSession):
         runs = saved(runs)
-    shared = saved(runs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", (F.col("n") > HOT).alias("hot")))
-    per = saved(runs.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last", "anchor", "hot")).alias("runs")))
+    shared = saved(runs.where("once").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")))
+    runs = runs.select("doc_id", "anchor", "spot").join(shared, "anchor")
+    first, count = F.shiftright(F.col("spot"), 5).bitwiseAND(F.lit((1 << 27) - 1)).cast("int"), F.col("spot").bitwiseAND(F.lit(31)).cast("int")
+    runs = runs.select("doc_id", F.shiftright("spot", 32).cast("int").alias("text_hash"), F.struct(first.alias("first"), (first + count - 1).alias("last"), "anchor", "hot").alias("run"))
+    per = saved(runs.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")))
     per = per.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     few = (per.agg(F.sum(F.size("runs") * 3 + 4)).first()[0] or 0) <= MOST_SENT
     again = some.join(F.broadcast(per) if few else per, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", *[F.col(f"runs.{c}").alias(c) for c in ("first", "last", "anchor", "hot")])
@@ -191,7 +211,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
             yield pd.DataFrame(out, columns=names)
 
     with small_batches(docs.sparkSession):
-        met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash long, at int").withColumn("code", F.xxhash64("content")))
+        met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash int, at int").withColumn("code", F.xxhash64("content")))
     distinct = saved(met.groupBy("key", "code", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
     total = distinct.agg(F.sum(F.size(F.split(F.col("content").cast("string"), " ")))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
@@ -217,7 +237,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = saved(repeats(docs, window)).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     few = (found.agg(F.sum(F.size("starts") + 4)).first()[0] or 0) <= MOST_SENT
-    joined = docs.select("doc_id", "text").join(F.broadcast(found) if few else found, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left").select("doc_id", "text", "starts")
+    joined = docs.select("doc_id", "text").join(F.broadcast(found) if few else found, (F.col("doc_id") == F.col("_id")) & (F.hash("text") == F.col("_hash")), "left").select("doc_id", "text", "starts")
 
     def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
