@@ -121,7 +121,7 @@ def simhash_table(docs: DataFrame) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 5) -> DataFrame:
+def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """docs without all but one document of each group: the one of smallest doc_id, then of smallest text hash.
 
     Rows that repeat the kept one in doc_id and text go too. Columns stay as they are. A document without doc_id is kept
