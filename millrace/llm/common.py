@@ -28,11 +28,11 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     at = new_path(spark)
-    df.write.parquet(at)
+    df.write.option("compression", codec).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.saved_at = at
     return out

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import drop_saved, saved, small_batches
 
 #: Words of a window, and of the anchor that decides its shard.
 WINDOW, ANCHOR = 13, 5
@@ -135,19 +135,22 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def anchors(words: list[bytes], memo: dict[bytes, int], window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class WordHashes(dict):
+    """XXH3 of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def anchors(words: list[bytes], memo: WordHashes, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of the runs of windows with the same anchor: the word sequence of least hash in each."""
     n = len(words)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(memo) > 500_000:
         memo.clear()
-    h = np.empty(n, np.uint64)
-    for i, w in enumerate(words):
-        v = memo.get(w)
-        if v is None:
-            v = memo[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = v
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
     mix = np.zeros(n - size + 1, np.uint64)
     for j in range(size):
         mix = (mix ^ h[j : j + mix.size]) * _A
@@ -172,11 +175,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
     some = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.hash("text").alias("text_hash"), "text")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
+        memo = WordHashes()
         for part in parts:
             found = [anchors(_words(t), memo, window, size) for t in part.text]
             spots = [(int(code) << 32) | (f[1] << 5) | (f[2] - f[1] + 1) for code, f in zip(part.text_hash, found, strict=True)]
-            once = [np.isin(np.arange(f[0].size), np.unique(f[0], return_index=True)[1]) for f in found]
+            once = [np.zeros(f[0].size, bool) for f in found]
+            for o, f in zip(once, found, strict=True):
+                o[np.unique(f[0], return_index=True)[1]] = True
             yield pd.DataFrame({"doc_id": part.doc_id, "anchor": [f[0] for f in found], "spot": spots, "once": once})
 
     runs = some.mapInPandas(cut, f"doc_id {kind}, anchor array<long>, spot array<long>, once array<boolean>").where(F.size("anchor") > 0)
@@ -184,11 +189,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
     with small_batches(docs.sparkSession):
         runs = saved(runs)
     shared = saved(runs.where("once").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")))
+    written = runs
     runs = runs.select("doc_id", "anchor", "spot").join(shared, "anchor")
     first, count = F.shiftright(F.col("spot"), 5).bitwiseAND(F.lit((1 << 27) - 1)).cast("int"), F.col("spot").bitwiseAND(F.lit(31)).cast("int")
     runs = runs.select("doc_id", F.shiftright("spot", 32).cast("int").alias("text_hash"), F.struct(first.alias("first"), (first + count - 1).alias("last"), "anchor", "hot").alias("run"))
     per = saved(runs.groupBy("doc_id", "text_hash").agg(F.collect_list("run").alias("runs")))
-    per = per.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    drop_saved(written)
+    listed, per = per, per.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     few = (per.agg(F.sum(F.size("runs") * 3 + 4)).first()[0] or 0) <= MOST_SENT
     again = some.join(F.broadcast(per) if few else per, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text_hash", "text", *[F.col(f"runs.{c}").alias(c) for c in ("first", "last", "anchor", "hot")])
 
@@ -211,8 +218,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, size: int = ANCHOR) -> DataFr
             yield pd.DataFrame(out, columns=names)
 
     with small_batches(docs.sparkSession):
-        met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash int, at int").withColumn("code", F.xxhash64("content")))
-    distinct = saved(met.groupBy("key", "code", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+        met = saved(again.mapInPandas(passages, f"key long, content binary, doc_id {kind}, text_hash int, at int"), "zstd")
+    drop_saved(listed)
+    met = met.withColumn("code", F.xxhash64("content"))
+    distinct = saved(met.groupBy("key", "code", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "zstd")
     total = distinct.agg(F.sum(F.size(F.split(F.col("content").cast("string"), " ")))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
 
