@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, words
+from .common import saved, sent_if_small, words
 
 #: No document is taken more often than this.
 MOST_COPIES = 3
+#: Copy counts of documents (64 bytes) up to this many are sent to every executor; more are joined by shuffle.
+MOST_SENT = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST_COPIES) -> tuple[DataFrame, int]:
@@ -110,7 +112,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     times = mixture(docs).where("copies > 0").groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     times = times.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "_copies", "_rows")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("text").alias("t"))
-    some = rows.join(saved(times), F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash")) & F.col("s").eqNullSafe(F.col("_source")))
+    some = rows.join(sent_if_small(saved(times), MOST_SENT), F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash")) & F.col("s").eqNullSafe(F.col("_source")))
     each = lambda df: df.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
     return each(some.where("_rows = 1")).union(each(some.where("_rows > 1").dropDuplicates(["i", "s", "t"])))
 

@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import connected_components, saved, sent_if_small
 
 #: Shingles that are counted at once, so that memory stays bounded on very long texts.
 CHUNK = 65_536
 #: Fingerprints of one block when a bucket is compared in blocks.
 BLOCK = 1_024
+#: Keys of kept documents (32 bytes) up to this many are sent to every executor; more are joined by shuffle.
+MOST_SENT = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -136,7 +138,7 @@ def keep_first(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
 
     def pick(some: DataFrame) -> DataFrame:
         rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("i"), F.col("text").alias("t"))
-        return rows.join(some, F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash")), "left_semi")
+        return rows.join(sent_if_small(some, MOST_SENT), F.col("i").eqNullSafe(F.col("_id")) & (F.xxhash64("t") == F.col("_hash")), "left_semi")
 
     once, more = keys.where("_n = 1"), keys.where("_n > 1")
     return pick(once).union(pick(more).dropDuplicates(["i", "t"])).select("doc.*")
