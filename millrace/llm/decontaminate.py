@@ -11,7 +11,7 @@ from .common import let, normal, saved, simhash
 
 SHINGLE = 5
 #: Fingerprints are compared within this radius: within RADIUS // BLOCKS bits in one of BLOCKS blocks.
-RADIUS, BLOCKS = 11, 4
+RADIUS, BLOCKS = 17, 6
 #: Benchmark shingles up to this number (16 bytes each) are sent to every executor; more are joined by shuffle.
 MOST_SENT = 1_000_000
 
@@ -68,18 +68,22 @@ def windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     return again.select("doc_id", "text_hash", F.explode(cut).alias("w")).select("doc_id", "text_hash", "w.start", "w.n", "w.part").distinct()
 
 
+def _widths() -> list[tuple[int, int]]:
+    """(first bit, bits) of each block; together they are all 64 bits."""
+    at = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+    return [(at[b], at[b + 1] - at[b]) for b in range(BLOCKS)]
+
+
 def _blocks(fp: Column) -> list[Column]:
-    width = 64 // BLOCKS
-    return [F.shiftrightunsigned(fp, width * b).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BLOCKS)]
+    return [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _widths()]
 
 
 def index(found: DataFrame) -> DataFrame:
     """item_id, n, fp under each (block, bits) within RADIUS // BLOCKS bits of its own: any fingerprint within RADIUS has one of them."""
-    width, most = 64 // BLOCKS, RADIUS // BLOCKS
-    flips = [sum(1 << i for i in some) for r in range(most + 1) for some in combinations(range(width), r)]
-    near = F.array(*[F.struct(F.lit(b).alias("block"), bits.alias("bits")) for b, bits in enumerate(_blocks(F.col("fp")))])
+    flips = lambda width: F.array(*[F.lit(sum(1 << i for i in some)).cast("long") for r in range(RADIUS // BLOCKS + 1) for some in combinations(range(width), r)])
+    near = F.array(*[F.struct(F.lit(b).alias("block"), bits.alias("bits"), flips(width).alias("flips")) for b, (bits, (_, width)) in enumerate(zip(_blocks(F.col("fp")), _widths(), strict=True))])
     wide = found.select("item_id", "n", "fp", F.explode(near).alias("k"))
-    wide = wide.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])))
+    wide = wide.withColumn("flip", F.explode("k.flips"))
     return wide.select("item_id", "n", F.col("fp").alias("item_fp"), "k.block", F.col("k.bits").bitwiseXOR(F.col("flip")).alias("bits"))
 
 
@@ -87,7 +91,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, at_least: float = 0.8) -> DataF
     """doc_id, text_hash, item_id, start (in normalised words), n_words, similarity: windows that repeat a benchmark item.
 
     Words are lower-cased runs of letters and digits. A window's fingerprint meets the items of its size within RADIUS bits;
-    what remains has a similarity of at_least in 5-word shingles (all words as one for items of fewer). Equal
+    what remains has a similarity of at_least in 5-word shingles (all words as one for items of fewer). A fingerprint holds
+    for most windows of that similarity, not for all: see README. Equal
     windows of many documents are compared once. Null texts, texts and items without a word match nothing; repeated rows
     count as one; null doc_ids are carried along; an empty table on either side gives no row.
     """
