@@ -105,8 +105,18 @@ def snk_packed_write(e: Exchange) -> DataFrame:
 
 @query("SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS index, round(embedding[1]::DOUBLE, 6) AS first, '' AS error FROM embeddings")
 def src_packed_read(e: Exchange) -> DataFrame:
-    rows = packed.unpack(packed.pack(e.embeddings, "label", "vec_id", "embedding"), ["label", "part"])
-    return rows.select("label", "index", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "error")
+    return read_packed(e.embeddings)
+
+
+def read_packed(vectors: DataFrame, rows_of_a_file: int = 65_536) -> DataFrame:
+    """label, index, first and error of every vector packed by label and read again; index goes on from part to part of a label."""
+    rows = packed.unpack(packed.pack(vectors, "label", "vec_id", "embedding", rows_of_a_file), ["label", "part"])
+    counts = vectors.groupBy("label", F.floor(F.col("vec_id") / rows_of_a_file).cast("long").alias("part")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col("label").alias("_label"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row per file
+    placed = rows.join(bases, F.col("label").eqNullSafe(F.col("_label")) & F.col("part").eqNullSafe(F.col("_part")), "left")
+    at = F.when(F.col("error") == "", F.col("index") + F.col("base")).otherwise(F.col("index"))
+    return placed.select("label", at.alias("index"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "error")
 
 
 @query("SELECT lang, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS records FROM (SELECT lang, CAST(floor(doc_id / 100) AS BIGINT) AS chunk, count(*) AS n FROM documents GROUP BY 1, 2) x GROUP BY lang")
