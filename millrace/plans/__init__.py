@@ -1,7 +1 @@
-"""All registered queries: importing this package imports every module that registers some."""
-
-from ..operators import aggregates, decisions, lifecycle, records, relations, scalars, sweeps  # noqa: F401
-from ..streaming import flows  # noqa: F401
-from .registry import ORACLE_SQL, QUERIES
-
-__all__ = ["ORACLE_SQL", "QUERIES"]
+"""Entities, the query registry and shared storage; `catalogue` has all registered queries."""

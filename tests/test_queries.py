@@ -3,7 +3,7 @@
 import pytest
 from comparing import duck, same
 
-from millrace.plans import ORACLE_SQL, QUERIES
+from millrace.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
