@@ -91,33 +91,39 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
+#: The lowest bit of each byte of a long, and of each but the top one.
+_ONES, _SEVEN = 0x0101010101010101, 0x01010101010101
+
+
+def lane_sums(h: Column) -> list[Column]:
+    """Eight aggregates over rows of long hashes, each of which counts eight bits of them in the bytes of a long; null beyond 127 in the top byte."""
+    return [F.try_sum(F.shiftright(h, s).bitwiseAND(F.lit(_ONES))) for s in range(8)]
+
+
+def majority(lanes: list[Column], n: Column) -> Column:
+    """The bits that are set in over half of n hashes, n <= 127, from their eight sums.
+
+    A byte holds more than half of n once adding 127 - floor(n / 2) reaches its top bit; at most 254 in all, so nothing carries over.
+    """
+    out = F.lit(0).cast("long")
+    for s, lane in enumerate(lanes):
+        low = lane.bitwiseAND(F.lit(2**56 - 1)) + F.lit(_SEVEN) * (127 - F.floor(n / 2))
+        top = F.shiftrightunsigned(lane, 56) > F.floor(n / 2)
+        got = F.shiftrightunsigned(low.bitwiseAND(F.lit(0x80808080808080)), 7).bitwiseOR(F.when(top, F.lit(1 << 56)).otherwise(F.lit(0)))
+        out = out.bitwiseOR(F.shiftleft(got, s))
+    return out
+
+
 def simhash(hashes: Column) -> Column:
     """The 64-bit SimHash of an array of long hashes: a bit is 1 if it is set in over half of them; 0 for none.
 
     Eight sums each count eight bits in the bytes of a long, for at most 127 hashes at once; longer arrays are counted
     in pieces whose bytes are then added up bit by bit.
     """
-    ones = 0x0101010101010101
     most = 127
-    adding = lambda s: lambda a, x: a + F.shiftright(x, s).bitwiseAND(F.lit(ones))
+    adding = lambda s: lambda a, x: a + F.shiftright(x, s).bitwiseAND(F.lit(_ONES))
     sums = lambda h: F.array(*[F.aggregate(h, F.lit(0).cast("long"), adding(s)) for s in range(8)])
-
-    def short(h: Column) -> Column:
-        """A byte holds more than half of n once adding 127 - floor(n / 2) reaches its top bit; at most 254 in all, so nothing carries over."""
-        n = F.size(h)
-
-        def bits(c: Column) -> Column:
-            add = [F.lit(ones & (2**56 - 1)) * (127 - F.floor(n / 2))]
-            out = F.lit(0).cast("long")
-            for s in range(8):
-                low = F.get(c, F.lit(s)).bitwiseAND(F.lit(2**56 - 1)) + add[0]
-                top = F.shiftrightunsigned(F.get(c, F.lit(s)), 56) > F.floor(n / 2)
-                got = F.shiftrightunsigned(low.bitwiseAND(F.lit(0x80808080808080)), 7).bitwiseOR(F.when(top, F.lit(1 << 56)).otherwise(F.lit(0)))
-                out = out.bitwiseOR(F.shiftleft(got, s))
-            return out
-
-        return let(sums(h), bits)
-
+    short = lambda h: let(sums(h), lambda c: majority([F.get(c, F.lit(s)) for s in range(8)], F.size(h)))
     counting = lambda i: lambda a, c: a + F.shiftrightunsigned(F.get(c, F.lit(i % 8)), i // 8 * 8).bitwiseAND(F.lit(255))
 
     def long(h: Column) -> Column:

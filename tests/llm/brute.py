@@ -1,7 +1,9 @@
 """Plain Python forms of the operators, for small fixtures."""
 
+import functools
 import hashlib
 import re
+from collections import Counter
 
 import xxhash
 
@@ -51,32 +53,66 @@ def near_fingerprints(prints, radius=3):
     return groups(prints, [(a, b) for i, a in enumerate(prints) for b in prints[:i] if bin(a ^ b).count("1") <= radius])
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
+def within(a, b, most):
+    """Whether at most `most` edits lead from a to b; cells further off the diagonal than that cannot matter."""
+    row = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row.get(j, most) + 1, new.get(j - 1, most) + 1, row.get(j - 1, most + 1) + (x != b[j - 1])) if j else i
         row = new
-    return row[-1]
+        if min(row.values()) > most:
+            return False
+    return row[len(b)] <= most if len(b) in row else False
+
+
+def blocks(n, extra):
+    levels = [1, 2, 3, *(k for i in range(2, 16) for k in (1 << i, 3 << i - 1))]
+    return min(k for k in levels if k >= max(1, n // 10)) + extra
+
+
+@functools.cache
+def keys(norm):
+    """The blocks of a line: (kind, number of blocks, block, SimHash of the features that fall in it)."""
+    some = [x for x in re.split(r"[\W_]+", norm) if x]
+    bare, out = "".join(some), set()
+    kinds = [(0, set(some), 2)] if len(some) >= 8 and len(bare) <= 16 * len(some) else []
+    if len(some) <= 8 or len(bare) >= 14 * len(some):
+        whole = bare or norm
+        kinds.append((1, {whole[i : i + 2] for i in range(max(1, len(whole) - 1))}, 4))
+    for kind, parts, extra in kinds:
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+        for m in {blocks(len(parts), extra), blocks(-(-len(parts) * 112 // 100) + 1, extra)}:
+            for block in range(m):
+                if own := [h for h in hashes if signed(h) % m == block]:
+                    out.add((kind, m, block, majority(own)))
+    return out
 
 
-def line_dedup(docs, similarity=0.9, radius=3, least=3):
-    """docs: (doc_id, text); the kept text of each."""
-    norm, prints, places = {}, {}, {}
-    for doc, text in docs:
-        for no, line in enumerate((text or "").split("\n")):
-            w = [x for x in SPACE.split(line.lower()) if x]
-            if len(w) >= least:
-                n = " ".join(w)
-                norm[doc, no] = n
-                prints[n] = majority({xxhash.xxh64_intdigest(x.encode(), 42) for x in w})
-                places.setdefault(n, []).append((doc is None, doc or 0, no))
-    keys = sorted(prints)
-    pairs = [(a, b) for i, a in enumerate(keys) for b in keys[:i] if bin(prints[a] ^ prints[b]).count("1") <= radius and distance(a.split(" "), b.split(" ")) <= int(max(len(a.split(" ")), len(b.split(" "))) * (1 - similarity) + 1e-9)]
-    group, first = groups(keys, pairs), {}
-    for n, at in places.items():
-        first[group[n]] = min([first.get(group[n], (2, 0, 0)), *at])
+@functools.cache
+def letters(x):
+    return Counter(x)
+
+
+def close(a, b):
+    """Edit similarity of 0.9 or more; what one line has of letters beyond the other is a bound that is quick to find."""
+    most = max(len(a), len(b)) // 10
+    return abs(len(a) - len(b)) <= most and (letters(a) - letters(b)).total() <= most and (letters(b) - letters(a)).total() <= most and within(a, b, most)
+
+
+def meet(a, b):
+    return max(len(a), len(b)) * 10 // 9 >= 10 and not keys(a).isdisjoint(keys(b)) and close(a, b)
+
+
+def line_dedup(docs, near=meet):
+    """(lines, removed lines, kept text) of each document, with one line left of those that `near` pairs connect."""
+    norm = {(doc, no): " ".join(SPACE.split(line.lower().strip(" \t\n\v\f\r"))) for doc, text in docs for no, line in enumerate((text or "").split("\n"))}
+    norm = {at: n for at, n in norm.items() if n}
+    lines = sorted(set(norm.values()))
+    group, first = groups(lines, [(a, b) for i, a in enumerate(lines) for b in lines[:i] if near(a, b)]), {}
+    for at, n in norm.items():
+        place = (at[0] is None, at[0] or 0, at[1])
+        first[group[n]] = min(first.get(group[n], place), place)
     out = {}
     for doc, text in docs:
         lines = (text or "").split("\n")
