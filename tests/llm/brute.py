@@ -71,22 +71,34 @@ def blocks(n, extra):
     return min(k for k in levels if k >= max(1, n // 10)) + extra
 
 
+MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„‘’、。，！？：；"
+
+
 @functools.cache
 def keys(norm):
-    """The blocks of a line: (kind, number of blocks, block, SimHash of the features that fall in it)."""
-    some = [x for x in re.split(r"[\W_]+", norm) if x]
-    bare, out = "".join(some), set()
-    kinds = [(0, set(some), 2)] if len(some) >= 8 and len(bare) <= 16 * len(some) else []
-    if len(some) <= 8 or len(bare) >= 14 * len(some):
-        whole = bare or norm
+    """The blocks of a line: {(kind, number of blocks, block, SimHash of the features that fall in it)}, and its signs."""
+    some, out, signs = norm.split(" "), set(), [None, None, None]
+    kinds = [(0, set(some), 2)] if len(some) >= 8 and len(norm) <= 17 * len(some) else []
+    if len(some) <= 8 or len(norm) >= 14 * len(some):
+        whole = re.sub(r"[\W_]+", "", norm) or norm
         kinds.append((1, {whole[i : i + 2] for i in range(max(1, len(whole) - 1))}, 4))
     for kind, parts, extra in kinds:
-        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in parts]
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for x in parts if (w := x.strip(MARKS)) or kind]
+        bits = functools.reduce(int.__or__, (1 << (h >> 58) for h in hashes), 0)
+        if kind:
+            signs[2] = bits
+        else:
+            signs[:2] = bits, functools.reduce(int.__or__, (1 << (h >> 58) for h in hashes if h >> 40 & 7 == 0), 0)
         for m in {blocks(len(parts), extra), blocks(-(-len(parts) * 112 // 100) + 1, extra)}:
             for block in range(m):
                 if own := [h for h in hashes if signed(h) % m == block]:
                     out.add((kind, m, block, majority(own)))
-    return out
+    return out, signs
+
+
+def alike(x, y, most):
+    differ = [None if a is None or b is None else (a ^ b).bit_count() for a, b in zip(x, y, strict=True)]
+    return all(d is None or d <= 4 + a.bit_count() * 3 // 10 for d, a in zip(differ[:2], x, strict=False)) and (differ[2] is None or differ[2] <= 4 * most)
 
 
 @functools.cache
@@ -95,13 +107,21 @@ def letters(x):
 
 
 def close(a, b):
-    """Edit similarity of 0.9 or more; what one line has of letters beyond the other is a bound that is quick to find."""
+    """Edit similarity of 0.9 or more, of lines beyond 2,000 characters over words; what one line has of letters beyond the other is a bound that is quick to find."""
     most = max(len(a), len(b)) // 10
-    return abs(len(a) - len(b)) <= most and (letters(a) - letters(b)).total() <= most and (letters(b) - letters(a)).total() <= most and within(a, b, most)
+    if abs(len(a) - len(b)) > most or (letters(a) - letters(b)).total() > most or (letters(b) - letters(a)).total() > most:
+        return False
+    if max(len(a), len(b)) > 2_000 and all(len(x) <= 17 * len(x.split(" ")) for x in (a, b)):
+        a, b = a.split(" "), b.split(" ")
+        most = max(len(a), len(b)) // 10
+    return within(a, b, most)
 
 
 def meet(a, b):
-    return max(len(a), len(b)) * 10 // 9 >= 10 and not keys(a).isdisjoint(keys(b)) and close(a, b)
+    """Near lines that share a block, and are alike both ways or one."""
+    (x, p), (y, q) = keys(a), keys(b)
+    most = max(len(a), len(b)) // 10
+    return max(len(a), len(b)) * 10 // 9 >= 10 and not x.isdisjoint(y) and (alike(p, q, most) or alike(q, p, most)) and close(a, b)
 
 
 def line_dedup(docs, near=meet):

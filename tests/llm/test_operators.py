@@ -39,14 +39,6 @@ def test_components_of_a_long_chain(spark):
 # 1
 
 
-def test_line_dedup_against_brute_force(spark):
-    docs = docs_of(spark).where("length(text) < 4000")
-    want = brute.line_dedup([(r.doc_id, r.text) for r in docs.collect()])
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.line_table(docs).collect()}
-    assert got == {k: (n, m, hashlib.sha256(t.encode()).hexdigest()) for k, (n, m, t) in want.items()}
-    assert sum(v[1] for v in got.values()) > 0
-
-
 def test_fuzzy_lines_leave_one_of_each_group(spark):
     base = [prose(50 + i, 30) for i in range(3)]
     texts = ["\n".join([base[0], base[1].replace("x", "y", 1)]), base[1] + "\nshort one", base[0] + "!\n" + base[2], "short one"]
@@ -56,8 +48,7 @@ def test_fuzzy_lines_leave_one_of_each_group(spark):
     assert got == want and got[3] == "short one"
 
 
-def test_many_variants_of_one_line(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+def test_many_variants_of_one_line(spark):
     words = prose(60, 60).split()
     texts = [" ".join([*words[:i], f"v{i}", *words[i + 1 :]]) for i in range(60)] + [" ".join(words)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
