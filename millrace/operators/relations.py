@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.entities import AS_OF, Exchange
 from ..plans.registry import query
+from ..plans.storage import written as saved
 from .aggregates import FIRM, LIVE, claimable, firm_charges, live_workers
 
 FINISHED = "('complete', 'failed', 'cancelled')"
@@ -209,10 +210,9 @@ def hw_rank(c):
 
 @query(f"SELECT j.id, EXISTS (SELECT 1 FROM {LIVE} w WHERE w.effective_gb >= j.min_memory_gb AND {RANK.format('w.hw_class')} < 2) AS cheaper FROM jobs j WHERE j.status = 'queued'")
 def jn_theta_cheaper(e: Exchange) -> DataFrame:
-    """Is there a live worker of a cheaper class with the memory: one least rank per whole number of GB decides all jobs."""
-    gb = live_workers(e).select(F.floor("effective_gb").cast("int").alias("gb"), hw_rank(F.col("hw_class")).alias("rank")).where("gb >= 1")
-    per = gb.select(F.explode(F.sequence(F.lit(1), F.least("gb", F.lit(8)))).alias("min_memory_gb"), "rank").groupBy("min_memory_gb").agg(F.min("rank").alias("rank"))
-    return e.jobs.where("status = 'queued'").join(per, "min_memory_gb", "left").select("id", F.coalesce(F.col("rank") < 2, F.lit(False)).alias("cheaper"))
+    """Is there a live worker of a cheaper class with the memory: the most memory of such workers decides all jobs."""
+    most = live_workers(e).where(hw_rank(F.col("hw_class")) < 2).agg(F.max("effective_gb").alias("most"))
+    return e.jobs.where("status = 'queued'").crossJoin(F.broadcast(most)).select("id", F.coalesce(F.col("most") >= F.col("min_memory_gb"), F.lit(False)).alias("cheaper"))
 
 
 @query("SELECT w.id, (SELECT b.p99_ms FROM benchmarks b WHERE b.worker_id = w.id ORDER BY b.created_at DESC, b.id LIMIT 1) AS p99_ms FROM workers w")
@@ -425,16 +425,24 @@ def st_distinct_classes(e: Exchange) -> DataFrame:
 
 
 @query("WITH RECURSIVE chain AS (SELECT id, id AS root, 0 AS depth FROM credentials WHERE rotated_from IS NULL UNION ALL SELECT c.id, k.root, k.depth + 1 FROM credentials c JOIN chain k ON c.rotated_from = k.id) SELECT id, root, depth FROM chain")
-def st_recursive_chain(e: Exchange, most: int = 64) -> DataFrame:
-    """Every credential under the first of its rotation chain: joins along the chain, at most `most` deep; no row goes to the driver."""
-    links = e.credentials.select("id", "rotated_from")
-    level = links.where("rotated_from IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    out, depth = level, 0
-    while depth < most and not level.isEmpty():
-        depth += 1
-        level = links.join(level.select(F.col("id").alias("rotated_from"), "root"), "rotated_from").select("id", "root", F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+def st_recursive_chain(e: Exchange) -> DataFrame:
+    return chains(e.credentials.select("id", "rotated_from"))
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """id, root, depth of every row under the first of its chain, however long, from (id, rotated_from).
+
+    Pointers double: each round joins a row to what its pointer points to, so a chain of n takes about log2(n) rounds, each
+    cut from its lineage; only the number of rows still under way comes back. Rows whose chain has no first are left out.
+    """
+    now = saved(links.select("id", F.coalesce("rotated_from", "id").alias("up"), F.when(F.col("rotated_from").isNull(), 0).otherwise(1).alias("depth"), F.col("rotated_from").isNull().alias("done")))
+    left, before = now.where("not done").count(), -1
+    while left != before and left:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        under = now.where("not done").join(above, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        now = saved(now.where("done").union(under))
+        left, before = now.where("not done").count(), left
+    return now.where("done").select("id", F.col("up").alias("root"), "depth")
 
 
 @query("SELECT worker_id, unnest(CASE WHEN worker_id % 2 = 0 THEN ['a', 'b'] ELSE ['c'] END) AS model FROM model_state")

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder set here where it is unset."""
+    """spark.checkpoint.dir, or a folder set here where it is unset and driver and executors are one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         at = f"file://{own}"
