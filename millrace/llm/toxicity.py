@@ -121,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LEARN_FROM) -> Scorer
     blank = total.n - len(rows), total.ones - int(rows.toxic.sum())
     x = [np.array(sorted(at[f] for f in fs), int) for fs in rows.f] + [np.zeros(0, int)] * blank[0]
     y = np.concatenate([rows.toxic.to_numpy(float), np.ones(blank[1]), np.zeros(blank[0] - blank[1])])
-    pairs = some.select(F.explode("s").alias("p")).groupBy("p").count().orderBy(F.desc("count"), "p").limit(1_000).select("p.a", "p.b").collect()  # at most the pairs of IDENTITY
+    pairs = some.select(F.explode("s").alias("p")).groupBy("p").count().orderBy(F.desc("count"), "p").select("p.a", "p.b").collect()  # at most the pairs of IDENTITY
     index = lambda fs: np.array([at[f] for f in fs], int)
     w, b = fit(x, y, [(index(p.a), index(p.b)) for p in pairs], len(names))
     return Scorer({f: float(w[i]) for f, i in at.items() if w[i]}, b)
