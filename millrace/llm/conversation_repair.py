@@ -313,7 +313,7 @@ def _long(rows: DataFrame, block: int) -> DataFrame:
         faults = [fault_of(x, s) for _, _, x, s, _, _ in held]
         yield from _batches(iter([(*keys(key), 0, *_told([h[1:3] for h in held], faults, held[0][4], held[0][5]))]), of_pieces)
 
-    up = F.floor(F.col("node") / block).cast("long")
+    up = F.floor(F.col("node") / max(block, 2)).cast("long")
     levels = [saved(turns.groupBy("conv_id", "block").applyInArrow(leaf, nodes))]
     while not levels[-1].where("node > 0").isEmpty():
         levels.append(saved(levels[-1].groupBy("conv_id", up.alias("above")).applyInArrow(product, nodes)))
