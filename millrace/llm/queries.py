@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_repair, decontaminate, filter_audit, importance, language, line_dedup, mixing, quality, simhash, substring, token_counts, toxicity
+from . import conversation_repair, decontaminate, filter_audit, importance, language, line_dedup, mixing, piece_bpe, quality, simhash, substring, token_counts, toxicity
 from .common import documents
 
 
@@ -48,6 +48,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_table(documents(spark, sf_dir))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.piece_table(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_table(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -56,5 +60,5 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_importance, op3_substring_dedup, op4_token_counts, op5_language_id, op6_decontaminate, op7_quality_rules, op8_toxicity, op9_fair_mix, op10_simhash, op12_conversation_repair, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_importance, op3_substring_dedup, op4_token_counts, op5_language_id, op6_decontaminate, op7_quality_rules, op8_toxicity, op9_fair_mix, op10_simhash, op11_piece_bpe, op12_conversation_repair, op13_filter_audit)}
 ORACLE_SQL = {"op3_substring_dedup": substring.SUBSTRING_SQL, "op7_quality_rules": quality.QUALITY_SQL, "op9_fair_mix": mixing.MIX_SQL, "op13_filter_audit": filter_audit.AUDIT_SQL}
