@@ -69,14 +69,6 @@ def fn_strict_json(e: Exchange) -> DataFrame:
     return e.events.select("event_id", jsonl.strict_error(text).alias("error"))
 
 
-@query("SELECT j.id AS job_id, r.chunk AS chunk_index, CAST(r.i AS INTEGER) AS index, CAST(sum(1) OVER (PARTITION BY j.id ORDER BY r.chunk, r.i ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS global_index, concat(j.id, '/', r.chunk, '/', r.i) AS value FROM jobs j JOIN (SELECT c AS chunk, i FROM range(0, 3) a(c), range(0, 3) b(i)) r ON r.i <= (j.id + r.chunk) % 3")
-def snk_ndjson_merge(e: Exchange) -> DataFrame:
-    """Results of three chunks per job in one sequence, each with its index in the chunk and in the job."""
-    chunks = e.jobs.select(F.col("id").alias("job_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("chunk_index"))
-    values = F.transform(F.sequence(F.lit(0).cast("long"), (F.col("job_id") + F.col("chunk_index")) % 3), lambda i: F.concat_ws("/", "job_id", "chunk_index", i))
-    return jsonl.merge(chunks.withColumn("values", values))
-
-
 @query("SELECT id, error FROM (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'empty' ELSE '' END AS error FROM documents) x")
 def va_infer(e: Exchange) -> DataFrame:
     text = F.when(F.col("doc_id") % 4 == 0, '{"completions":[{"index":1,"text":"a"}]}').when(F.col("doc_id") % 4 == 1, '{"completions":[]}').otherwise('{"completions":[{"index":0,"text":"a"},{"index":1,"text":"b"}]}')
@@ -119,13 +111,6 @@ def read_packed(vectors: DataFrame, rows_of_a_file: int = 65_536) -> DataFrame:
     return placed.select("label", at.alias("index"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "error")
 
 
-@query("SELECT lang, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS records FROM (SELECT lang, CAST(floor(doc_id / 100) AS BIGINT) AS chunk, count(*) AS n FROM documents GROUP BY 1, 2) x GROUP BY lang")
-def snk_merge_driver(e: Exchange) -> DataFrame:
-    """Chunk artifacts counted, then their records summed: what a merged object must hold."""
-    per = e.documents.groupBy("lang", F.floor(F.col("doc_id") / 100).alias("chunk")).agg(F.count("*").alias("n"))
-    return per.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum("n").alias("records"))
-
-
 @query("SELECT concat(supplier_id, ',', amount_micros, ',', id) AS line FROM ledger l WHERE payout_status = 'ready' AND NOT EXISTS (SELECT 1 FROM refunds r WHERE r.job_id = l.job_id)")
 def snk_csv_export(e: Exchange) -> DataFrame:
     """Payout lines whose key has not been written before."""
