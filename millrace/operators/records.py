@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.entities import Exchange
 from ..plans.registry import query
-from ..sources import jsonl, packed
+from ..sources import jsonl, packed, preflight
 
 LINE = "CASE WHEN doc_id % 97 = 0 THEN '  ' WHEN doc_id % 89 = 1 THEN '{bad' ELSE concat('{\"id\":\"', doc_id, '\",\"', CASE WHEN doc_id % 3 = 0 THEN 'prompt' ELSE 'text' END, '\":\"', lang, ' ', source, '\"}') END"
 LINES = f"(SELECT doc_id + 1 AS line_no, {LINE} AS value, doc_id FROM documents)"
@@ -83,6 +83,24 @@ def va_embed_json(e: Exchange) -> DataFrame:
     return e.embeddings.select("vec_id", jsonl.embed_error(F.size(v), F.when(k == 0, 3).otherwise(2), vectors).alias("error"))
 
 
+#: Vectors cut to a width, so many of them, under bounds that fit or not, with faults of all kinds; w, n, most and bound hang on vec_id.
+_CASES = "vec_id % 7 + 1 AS w, vec_id % 4 AS n, vec_id % 5 AS most, CASE vec_id % 3 WHEN 0 THEN 0 WHEN 1 THEN vec_id % 7 + 1 ELSE vec_id % 7 + vec_id % 2 * 2 END AS bound, vec_id % 11 AS twist"
+
+
+@query(f"""SELECT vec_id, CASE WHEN error = '' THEN n END AS rows, CASE WHEN error = '' THEN w END AS dim, error FROM (SELECT *, CASE WHEN n = 0 THEN CASE WHEN twist = 3 THEN 'json' ELSE 'count' END WHEN twist = 2 THEN 'numeric' WHEN bound > 0 AND w > bound THEN 'dimension' WHEN twist = 1 THEN 'numeric'
+    WHEN bound > 0 AND w <> bound THEN 'dimension' WHEN most > 0 AND n > most THEN 'count' WHEN twist = 0 AND n = 3 THEN 'dimension' WHEN twist IN (3, 4) THEN 'json' ELSE '' END AS error FROM (SELECT vec_id, {_CASES} FROM embeddings) c) x""")
+def va_embed_preflight(e: Exchange) -> DataFrame:
+    """JSON vectors looked at before they are built: rows and width within the bounds of an attempt, or the kind of the first fault."""
+    cases = e.embeddings.select("embedding", "vec_id", *[F.expr(c) for c in _CASES.split(", ")])
+    numbers = F.transform(F.slice("embedding", F.lit(1), F.col("w").cast("int")), lambda x: x.cast("string"))
+    first = F.when(F.col("twist") == 2, F.concat(F.array(F.lit('"1"')), F.slice(numbers, 2, 64))).when(F.col("twist") == 1, F.concat(F.slice(numbers, F.lit(1), (F.col("w") - 1).cast("int")), F.array(F.lit("-1e999")))).otherwise(numbers)
+    third = F.when(F.col("twist") == 0, F.concat(numbers, F.array(F.lit("0.5")))).otherwise(numbers)
+    gap = F.when(F.col("twist") == 5, " \n").otherwise("")
+    rows = F.transform(F.slice(F.array(first, numbers, third), F.lit(1), F.col("n").cast("int")), lambda v: F.concat(F.lit("["), F.array_join(v, ","), gap, F.lit("]")))
+    text = F.concat(gap, F.lit("["), F.array_join(rows, ", "), F.when(F.col("twist") == 3, "").when(F.col("twist") == 4, "] 7").otherwise("]"))
+    return preflight.preflight(cases.withColumn("raw", text), "vec_id", "raw", "most", "bound")
+
+
 @query("SELECT job_id, expected, got, CASE WHEN got = expected THEN '' WHEN got > expected THEN 'too_many' ELSE 'too_few' END AS error FROM (SELECT job_id, count(*) FILTER (WHERE NOT is_redundancy) AS expected, count(*) FILTER (WHERE status = 'complete') AS got FROM tasks GROUP BY job_id) x")
 def va_count(e: Exchange) -> DataFrame:
     per = e.tasks.groupBy("job_id").agg(F.count_if(~F.col("is_redundancy")).alias("expected"), F.count_if(F.col("status") == "complete").alias("got"))
