@@ -1,7 +1,7 @@
 """All registered queries: importing this module imports every module that registers some."""
 
 from ..operators import aggregates, artifacts, decisions, lifecycle, records, relations, scalars, sweeps  # noqa: F401
-from ..streaming import flows  # noqa: F401
+from ..streaming import checkpoints, flows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -34,3 +34,11 @@ def drop(uri: str) -> None:
     where, path = at(uri)
     if where.get_file_info(path).type == fs.FileType.Directory:
         where.delete_dir(path)
+
+
+def names(uri: str) -> list[str]:
+    """The names of the files of a folder, in order; none where there is no folder."""
+    where, path = at(uri)
+    if where.get_file_info(path).type != fs.FileType.Directory:
+        return []
+    return sorted(f.base_name for f in where.get_file_info(fs.FileSelector(path)) if f.is_file)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.entities import Exchange
 from ..plans.registry import query
-from ..plans.storage import new_path
+from .checkpoints import drained
 
 
 def event_stream(e: Exchange) -> DataFrame:
@@ -19,23 +19,12 @@ def event_stream(e: Exchange) -> DataFrame:
     return e.spark.readStream.schema(e.events.schema).option("pathGlobFilter", "events.parquet").parquet(e.sf_dir)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream gives for all data there is now, through a checkpoint and a table in the shared folder."""
-    spark, at = stream.sparkSession, new_path(stream.sparkSession)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
-
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
-
-
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, avg(value) AS avg_value FROM events GROUP BY 1, 2")
 def stream_drift(e: Exchange) -> DataFrame:
-    """Count and mean per day and type; a watermark of an hour bounds the state."""
+    """Count and mean per day and type, as they change; a watermark of an hour bounds the state, which drops days that are over."""
     stamped = event_stream(e).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
     per = stamped.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("avg_value"))
-    return drained(per, "complete").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "avg_value")
+    return drained(per, "update", ["w", "event_type"]).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "avg_value")
 
 
 @query("SELECT user_id AS worker_id, max(ts) AS seen_at, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events GROUP BY user_id")
