@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..plans.entities import AS_OF, Exchange
 from ..plans.registry import query
+from .frozen import JOBS_SQL, PLAN_SQL
 from .aggregates import DAY, LIVE, claimable, firm_charges, live_workers
 from .relations import EMBED, SCORE, first, match_score
 
@@ -160,9 +161,9 @@ def economics(e: Exchange, percent: float = 0.029, fixed: float = 0.3, per_task:
     return s.withColumn("headroom", money.round_usd(money.round_usd(F.col("net") - cost) - money.round_usd(F.col("net") * margin)))
 
 
-@query()
+@query(f"WITH i AS (SELECT id, 0 AS v, {JOBS_SQL}), {PLAN_SQL} SELECT id, max(charge) / 1e6 AS charge_usd, max(payout) / 1e6 AS payout_usd, min(headroom) / 1e6 AS headroom_usd, arg_min(scenario, {{'a': headroom, 'b': scenario}}) AS tightest, min(headroom) >= -1 AS executable FROM w GROUP BY id")
 def al_econ_plan(e: Exchange) -> DataFrame:
-    """Charge, payout, the tightest scenario and whether the plan may run; property-tested rather than held against SQL."""
+    """Charge, payout, the tightest scenario and whether the plan may run."""
     tight = F.min_by("scenario", F.struct("headroom", "scenario"))
     return economics(e).groupBy("id").agg(F.max("charge").alias("charge_usd"), F.max("payout").alias("payout_usd"), F.min("headroom").alias("headroom_usd"), tight.alias("tightest")).withColumn("executable", F.col("headroom_usd") >= -1e-6)
 

@@ -129,19 +129,6 @@ def read_packed(vectors: DataFrame, rows_of_a_file: int = 65_536) -> DataFrame:
     return placed.select("label", at.alias("index"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "error")
 
 
-@query("SELECT concat(supplier_id, ',', amount_micros, ',', id) AS line FROM ledger l WHERE payout_status = 'ready' AND NOT EXISTS (SELECT 1 FROM refunds r WHERE r.job_id = l.job_id)")
-def snk_csv_export(e: Exchange) -> DataFrame:
-    """Payout lines whose key has not been written before."""
-    there = e.refunds.select("job_id")
-    return e.ledger.where("payout_status = 'ready'").join(there, "job_id", "left_anti").select(F.concat_ws(",", "supplier_id", "amount_micros", "id").alias("line"))
-
-
-@query("SELECT concat('queue_depth{tier=\"', tier, '\"} ', n) AS line FROM (SELECT tier, count(*) AS n FROM jobs WHERE status = 'queued' GROUP BY tier) x")
-def snk_metrics_text(e: Exchange) -> DataFrame:
-    per = e.jobs.where("status = 'queued'").groupBy("tier").agg(F.count("*").alias("n"))
-    return per.select(F.concat(F.lit('queue_depth{tier="'), "tier", F.lit('"} '), F.col("n").cast("string")).alias("line"))
-
-
 @query("SELECT m.id, m.job_type, coalesce(n.price, m.price_per_1k) AS price, n.price IS NOT NULL AS changed FROM models m LEFT JOIN (SELECT 'all-minilm-l6-v2' AS id, 0.05::DOUBLE AS price) n ON n.id = m.id")
 def src_catalog_json(e: Exchange) -> DataFrame:
     """A JSON record set merged into the catalogue: upserts win, models that it does not name stay."""
