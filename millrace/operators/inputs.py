@@ -68,9 +68,8 @@ def peeked(lines: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 #: A request per job: lines in the request, a key of the buyer's own or another's, or something that is neither.
-RAW = """CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN concat('"{\\\\"id\\\\":', o_orderkey, '}\\\\n{\\\\"id\\\\":"second"}\\\\n"') WHEN 2 THEN concat('{"s3_key":"jobs/', o_orderkey - 2, '/input"}') WHEN 3 THEN concat('{"s3_key":"jobs/', o_orderkey, '/input"}')
+RAW = """CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN concat('"{\\\\"id\\\\":', o_orderkey, '}\\\\n{\\\\"id\\\\":\\\\"second\\\\"}\\\\n"') WHEN 2 THEN concat('{"s3_key":"jobs/', o_orderkey - 2, '/input"}') WHEN 3 THEN concat('{"s3_key":"jobs/', o_orderkey, '/input"}')
     WHEN 4 THEN concat('{"s3_key":"elsewhere/', o_orderkey, '"}') WHEN 5 THEN '{"other":1}' WHEN 6 THEN '[1]' ELSE concat('{"s3_key":"jobs/', o_orderkey, '/lost"}') END"""
-_RAW_SQL = RAW.replace("\\\\", "\\")
 
 
 @query("""WITH r AS (SELECT o.o_orderkey AS id, o.o_custkey AS buyer_id, o.o_orderkey % 8 AS k, p.o_custkey AS other FROM orders o LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey - 2),
