@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.entities import Exchange
 from ..plans.registry import query
 from ..sources import jsonl, packed, preflight
+from .pooling import embed
 
 LINE = "CASE WHEN doc_id % 97 = 0 THEN '  ' WHEN doc_id % 89 = 1 THEN '{bad' ELSE concat('{\"id\":\"', doc_id, '\",\"', CASE WHEN doc_id % 3 = 0 THEN 'prompt' ELSE 'text' END, '\":\"', lang, ' ', source, '\"}') END"
 LINES = f"(SELECT doc_id + 1 AS line_no, {LINE} AS value, doc_id FROM documents)"
@@ -153,23 +154,6 @@ def runner(job_type: str, result: str):
     return register
 
 
-@runner("embed", "array<float>")
-def hashed_embedding(texts: list[str], dim: int = 32) -> list:
-    """A stand-in for model weights: hashed words, mean-pooled and of unit length."""
-    import zlib
-
-    import numpy as np
-
-    out = []
-    for t in texts:
-        v = np.zeros(dim, np.float32)
-        for w in t.split():
-            v[zlib.crc32(w.encode()) % dim] += 1
-        norm = float(np.linalg.norm(v))
-        out.append(v / norm if norm else v)
-    return out
-
-
 @runner("batch_infer", "string")
 def first_words(texts: list[str], most: int = 5) -> list:
     """A stand-in for greedy decoding: the first words again."""
@@ -201,13 +185,13 @@ def ml_infer_runner(e: Exchange) -> DataFrame:
 
 @query()
 def ml_embed_runner(e: Exchange) -> DataFrame:
-    return run_workload(e.benchmark, "embed", "item_id", "text")
+    return embed(e.benchmark, "item_id", "text").select("item_id", F.col("vector").cast("array<float>").alias("result"))
 
 
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN 'embed' ELSE 'batch_infer' END AS runner FROM jobs")
 def ml_dispatch(e: Exchange) -> DataFrame:
     """The first registered runner that takes a job's type."""
-    return e.jobs.select("id", F.coalesce(*[F.when(F.col("job_type") == k, F.lit(k)) for k in RUNNERS]).alias("runner"))
+    return e.jobs.select("id", F.coalesce(*[F.when(F.col("job_type") == k, F.lit(k)) for k in ("embed", *RUNNERS)]).alias("runner"))
 
 
 @query("""WITH r AS (SELECT worker_id, id, duration_ms, created_at, row_number() OVER (PARTITION BY worker_id ORDER BY created_at, id) AS n FROM durations),
