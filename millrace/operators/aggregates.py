@@ -273,10 +273,13 @@ def ag_percentile_kinds(e: Exchange) -> DataFrame:
     """Nearest rank P99, variation, upper and midpoint median: four figures that must not stand in for one another."""
     own = e.durations.select(F.col("worker_id").alias("supplier_id"), "duration_ms")
     n = F.count("*")
-    return own.groupBy("supplier_id").agg(
-        n.alias("samples"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY duration_ms)").cast("long").alias("p99_ms"), F.when(n < 2, F.lit(0.0)).otherwise(F.stddev_pop("duration_ms") / F.avg("duration_ms") * 100).alias("cv_pct"),
-        F.element_at(F.sort_array(F.collect_list("duration_ms")), (F.floor(n / 2) + 1).cast("int")).alias("upper_median_ms"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY duration_ms)").alias("mid_median_ms"),
-    )
+    whole = own.groupBy("supplier_id").agg(n.alias("samples"), F.when(n < 2, F.lit(0.0)).otherwise(F.stddev_pop("duration_ms") / F.avg("duration_ms") * 100).alias("cv_pct"))
+    counts = own.groupBy("supplier_id", "duration_ms").agg(n.alias("n"))  # what is put in order are distinct values
+    upto = F.sum("n").over(Window.partitionBy("supplier_id").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("duration_ms")))
+    half = F.col("samples") / 2
+    ranked = counts.withColumn("upto", upto).join(whole, "supplier_id").groupBy("supplier_id", "samples", "cv_pct")
+    return ranked.agg(at(F.ceil(F.col("samples") * 0.99)).alias("p99_ms"), at(F.floor(half) + 1).alias("upper_median_ms"), ((at(F.floor((F.col("samples") + 1) / 2)) + at(F.floor(half) + 1)) / 2).alias("mid_median_ms"))
 
 
 @query("""SELECT worker_id, max(duration_ms) AS peak, avg(duration_ms) FILTER (WHERE r > n * 0.75) AS late, (1 - avg(duration_ms) FILTER (WHERE r > n * 0.75) / max(duration_ms)) * 100 AS gap_pct

@@ -187,7 +187,11 @@ def fanout(fleet: DataFrame, items: DataFrame) -> DataFrame:
     return given.select("job_id", "worker_id", "items", (F.col("start") + F.col("items") / F.col("rate")).alias("secs"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT j.id AS job_id, w.id AS worker_id, w.tps / 10 AS rate, CASE WHEN w.id % 2 = 0 THEN 0.0 ELSE 20.0 END::DOUBLE AS start, (j.id % 900 + 1)::DOUBLE AS n FROM jobs j JOIN {LIVE} w ON w.id % 50 = j.id % 50 WHERE j.status = 'running' AND w.tps > 0),
+    t AS (SELECT *, (n + sum(rate * start) OVER o) / sum(rate) OVER o AS t FROM b WINDOW o AS (PARTITION BY job_id ORDER BY start, rate DESC, worker_id ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, min(CASE WHEN t >= start THEN t END) OVER (PARTITION BY job_id) AS finish FROM t),
+    s AS (SELECT *, greatest(0.0::DOUBLE, finish - start) * rate AS exact FROM f), h AS (SELECT *, floor(exact + 1e-9) AS whole FROM s),
+    r AS (SELECT *, n - sum(whole) OVER (PARTITION BY job_id) AS rest, row_number() OVER (PARTITION BY job_id ORDER BY exact > 0 DESC, exact - whole DESC, start, rate DESC, worker_id) AS rank FROM h), g AS (SELECT *, CAST(whole + CASE WHEN rank <= rest THEN 1 ELSE 0 END AS BIGINT) AS items FROM r)
+    SELECT job_id, worker_id, items, start + items / rate AS secs FROM g WHERE items > 0""")
 def al_fanout(e: Exchange) -> DataFrame:
     """Plans for the running jobs over the part of the fleet whose number is that of the job modulo 50."""
     fleet = live_workers(e).select(F.col("id").alias("worker_id"), (F.col("id") % 50).alias("part"), (F.col("tps") / 10).alias("rate"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.lit(20.0)).alias("start"))

@@ -163,7 +163,7 @@ def va_artifact(e: Exchange) -> DataFrame:
     return packed.unpack(cut, ["label"]).select("label", "error").distinct()
 
 
-@query("SELECT 0 AS part, count(*) AS count, CAST(16 + 256 * count(*) AS BIGINT) AS bytes FROM embeddings")
+@query("SELECT CAST(floor(place / 65536) AS INTEGER) AS part, count(*) AS count, CAST(16 + 256 * count(*) AS BIGINT) AS bytes FROM (SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS place FROM embeddings) x GROUP BY 1")
 def snk_packed_merge(e: Exchange) -> DataFrame:
     """Chunk artifacts unpacked and packed again as one sequence, in chunk order."""
     rows = packed.unpack(packed.pack(e.embeddings, "label", "vec_id", "embedding"), ["label", "part"]).where("error = ''")

@@ -108,7 +108,7 @@ def va_count(e: Exchange) -> DataFrame:
     return per.withColumn("error", F.when(F.col("got") == F.col("expected"), "").when(F.col("got") > F.col("expected"), "too_many").otherwise("too_few"))
 
 
-@query("SELECT label, 0 AS part, count(*) AS count, CAST(16 + 4 * 64 * count(*) AS BIGINT) AS bytes FROM embeddings GROUP BY label")
+@query("SELECT label, CAST(floor(vec_id / 65536) AS INTEGER) AS part, count(*) AS count, CAST(16 + 4 * 64 * count(*) AS BIGINT) AS bytes FROM embeddings GROUP BY label, 2")
 def snk_packed_write(e: Exchange) -> DataFrame:
     files = packed.pack(e.embeddings, "label", "vec_id", "embedding")
     return files.select("label", F.col("part").cast("int").alias("part"), "count", F.octet_length("data").cast("long").alias("bytes"))
