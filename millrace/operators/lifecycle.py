@@ -60,7 +60,8 @@ def al_plan_effects(e: Exchange) -> DataFrame:
     return effects(e).select("id", "ordinal", "effect")
 
 
-@query()
+@query(f"""SELECT id, ordinal, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', CAST(concat('0x', substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS effect_id
+    FROM (SELECT id, ordinal, sha1(unhex('{uuid.NAMESPACE_OID.hex}') || encode(concat(id, '/', ordinal, '/', effect))) AS h FROM ({_EFFECTS}) e) x""")
 def fn_effect_id(e: Exchange) -> DataFrame:
     """A UUID (version 5) per effect, the same on every run."""
 

@@ -160,7 +160,12 @@ def fn_sha256(e: Exchange) -> DataFrame:
     return e.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query()
+_PAD = lambda x: "unhex('" + bytes(b ^ x for b in b"secret".ljust(64, b"\0")).hex() + "')"
+_PROBABILITY = "CASE WHEN s.reputation <= 0.9 THEN 1.0 ELSE greatest(0.25::DOUBLE, 1.0::DOUBLE - (least(s.reputation, 1.0::DOUBLE) - 0.9::DOUBLE) / (1.0::DOUBLE - 0.9::DOUBLE) * (1.0::DOUBLE - 0.25::DOUBLE)) END"
+
+
+@query(f"""SELECT id, unit, p <= 0 OR p >= 1 OR unit < p AS checked FROM (SELECT t.id, {_PROBABILITY} AS p, CAST(concat('0x', substr(sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(concat('sample|', CAST(t.id AS VARCHAR)))))), 1, 16)) AS UBIGINT)::DOUBLE / {2.0**64!r} AS unit
+    FROM tasks t JOIN suppliers s ON t.supplier_id = s.id WHERE t.status = 'complete') x""")
 def fn_hmac_sample(e: Exchange) -> DataFrame:
     """Which finished tasks are checked: HMAC of the task under the secret against the supplier's check probability."""
     prob = e.suppliers.select(F.col("id").alias("supplier_id"), risk.check_probability(F.col("reputation")).alias("p"))

@@ -51,7 +51,9 @@ def monitor(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Ite
     yield pd.DataFrame({"worker_id": [key[0]] * len(alarms), "alarm_at": alarms})
 
 
-@query()
+@query("""WITH r AS (SELECT user_id AS worker_id, event_id, ts, 1000.0::DOUBLE / round(value * 1000) AS rate FROM events WHERE round(value * 1000) > 0), n AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY ts, event_id) AS n FROM r), b AS (SELECT worker_id, avg(rate) AS base FROM n WHERE n <= 2 GROUP BY worker_id),
+    l AS (SELECT n.worker_id, n.n, n.n > 2 AND n.rate < 0.75::DOUBLE * b.base AS low FROM n JOIN b ON b.worker_id = n.worker_id), g AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY worker_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM l),
+    p AS (SELECT *, sum(CASE WHEN low THEN 1 ELSE 0 END) OVER (PARTITION BY worker_id, run ORDER BY n ROWS UNBOUNDED PRECEDING) AS at_ FROM g) SELECT worker_id, n AS alarm_at FROM p WHERE low AND at_ % 3 = 0""")
 def stream_live_monitor(e: Exchange) -> DataFrame:
     """Alarms of the throughput monitor as a stateful stream; within a micro-batch a worker's slices are put in order of time."""
     rates = event_stream(e).where("round(value * 1000) > 0").select(F.col("user_id").alias("worker_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), (1000.0 / F.round(F.col("value") * 1000)).alias("rate"))
