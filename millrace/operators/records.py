@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.entities import Exchange
 from ..plans.registry import query
+from ..plans.storage import new_path
 from ..sources import jsonl, packed, preflight
 from .pooling import embed
 
@@ -130,11 +131,35 @@ def read_packed(vectors: DataFrame, rows_of_a_file: int = 65_536) -> DataFrame:
     return placed.select("label", at.alias("index"), F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "error")
 
 
-@query("SELECT m.id, m.job_type, coalesce(n.price, m.price_per_1k) AS price, n.price IS NOT NULL AS changed FROM models m LEFT JOIN (SELECT 'all-minilm-l6-v2' AS id, 0.05::DOUBLE AS price) n ON n.id = m.id")
+def synced(catalogue: DataFrame, feed: DataFrame) -> DataFrame:
+    """id, job_type, price, status of a catalogue after a JSON record set (rows with `records`, an array in text) was laid over it.
+
+    Records win over rows of their id: inserted, updated or same (null-safe); rows that no record names are removed. Of
+    several records with one id the last by document and place counts; records without an id, and documents that are no
+    arrays, count for nothing.
+    """
+    each = feed.select("document", F.posexplode(F.from_json("records", "array<struct<id string, job_type string, price long>>")).alias("place", "r")).where("r.id IS NOT NULL")
+    latest = each.groupBy(F.col("r.id").alias("id")).agg(F.max_by("r", F.struct("document", "place")).alias("r")).select("id", F.col("r.job_type").alias("new_type"), F.col("r.price").alias("new_price"), F.lit(True).alias("named"))
+    both = catalogue.select("id", "job_type", "price", F.lit(True).alias("known")).join(latest, "id", "full")
+    same = F.col("job_type").eqNullSafe(F.col("new_type")) & F.col("price").eqNullSafe(F.col("new_price"))
+    status = F.when(F.col("named").isNull(), "removed").when(F.col("known").isNull(), "inserted").when(same, "same").otherwise("updated")
+    keep = lambda new, old: F.when(F.col("named").isNull(), F.col(old)).otherwise(F.col(new)).alias(old)
+    return both.select("id", keep("new_type", "job_type"), keep("new_price", "price"), status.alias("status"))
+
+
+@query("""WITH f AS (SELECT p_partkey, concat('m', p_partkey) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'embed' ELSE 'batch_infer' END AS job_type, CAST(floor(p_retailprice) AS BIGINT) AS price FROM part)
+    SELECT id, job_type, CASE WHEN p_partkey % 5 = 0 THEN price + 1 ELSE price END AS price, CASE WHEN p_partkey % 7 = 0 THEN 'inserted' WHEN p_partkey % 5 = 0 THEN 'updated' ELSE 'same' END AS status FROM f WHERE p_partkey % 3 <> 0 UNION ALL SELECT id, job_type, price, 'removed' FROM f WHERE p_partkey % 3 = 0 AND p_partkey % 7 <> 0""")
 def src_catalog_json(e: Exchange) -> DataFrame:
-    """A JSON record set merged into the catalogue: upserts win, models that it does not name stay."""
-    feed = e.spark.range(1).select(F.explode(F.from_json(F.lit('[{"id":"all-minilm-l6-v2","price":0.05}]'), "array<struct<id string, price double>>")).alias("r")).select("r.*")
-    return e.models.join(feed, "id", "left").select("id", "job_type", F.coalesce("price", "price_per_1k").alias("price"), F.col("price").isNotNull().alias("changed"))
+    """A catalogue of models, one per part, after JSON documents of a hundred records each were written, read and laid over it.
+
+    The catalogue lacks a seventh of the parts; the documents leave out a third and have another price for a fifth.
+    """
+    parts = e.part.select("p_partkey", F.concat(F.lit("m"), F.col("p_partkey")).alias("id"), F.when(F.col("p_partkey") % 2 == 0, "embed").otherwise("batch_infer").alias("job_type"), F.floor("p_retailprice").cast("long").alias("price"))
+    told = parts.where("p_partkey % 3 <> 0").withColumn("price", F.col("price") + F.when(F.col("p_partkey") % 5 == 0, 1).otherwise(0))
+    documents = told.groupBy(F.floor(F.col("p_partkey") / 100).alias("document")).agg(F.to_json(F.collect_list(F.struct("id", "job_type", "price"))).alias("records"))  # at most 100 records
+    at = new_path(e.spark)
+    documents.write.json(at)
+    return synced(parts.where("p_partkey % 7 <> 0"), e.spark.read.schema("document long, records string").json(at))
 
 
 # Workloads

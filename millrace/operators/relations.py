@@ -356,9 +356,12 @@ def tk_admin_actions(e: Exchange, most: int = 200) -> DataFrame:
     return e.job_events.orderBy(F.desc("created_at"), F.desc("id")).limit(most).select("id", "job_id", "kind")
 
 
-@query("SELECT id, job_type, price_per_1k FROM models")
+@query("SELECT m.id, m.job_type, m.price_per_1k, count(j.id) AS jobs, row_number() OVER (ORDER BY m.price_per_1k, m.id) AS place FROM models m LEFT JOIN jobs j ON j.model_ref = m.id GROUP BY m.id, m.job_type, m.price_per_1k")
 def tk_models(e: Exchange) -> DataFrame:
-    return e.models.select("id", "job_type", "price_per_1k").orderBy("price_per_1k", "id")
+    """The advertised models by price, each with the jobs that ask for it."""
+    asked = e.jobs.groupBy(F.col("model_ref").alias("id")).agg(F.count("*").alias("jobs"))
+    place = F.row_number().over(Window.orderBy("price_per_1k", "id"))  # a row per model
+    return e.models.join(asked, "id", "left").select("id", "job_type", "price_per_1k", F.coalesce("jobs", F.lit(0)).alias("jobs"), place.alias("place")).orderBy("place")
 
 
 @query("SELECT task_id, job_id FROM (SELECT id AS task_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY sha256(concat(CAST(job_id AS VARCHAR), '/', CAST(id AS VARCHAR)))) AS r FROM tasks WHERE NOT is_redundancy) x WHERE r <= 2")

@@ -42,3 +42,12 @@ def test_metrics_are_escaped_and_cumulative(spark):
     assert set(lines) >= {'seen_total{who="a\\"b\\\\c\\nd"} 1', 'seen_total{who="x"} 3', 'seen_total{who=""} 1', "ms 1025", 'h_bucket{who="x",le="5"} 0', 'h_bucket{who="x",le="10"} 1', 'h_bucket{who="x",le="+Inf"} 3', 'h_sum{who="x"} 1020', 'h_count{who="x"} 3', 'h_bucket{who="a\\"b\\\\c\\nd",le="5"} 1'}
     assert not any(x.startswith('h_count{who=""') for x in lines) and len(lines) == 6 + 3 + 1 + 2 * 5
     assert len(metrics.rendered(rows.where("false"), families).collect()) == 6
+
+
+def test_a_catalogue_takes_the_last_record(spark):
+    from millrace.operators.records import synced
+
+    catalogue = spark.createDataFrame([("a", "embed", 1), ("b", "embed", 2), ("c", None, None), ("d", "embed", 4)], "id string, job_type string, price long")
+    feed = spark.createDataFrame([(1, '[{"id":"a","job_type":"embed","price":9},{"id":"a","job_type":"embed","price":1}]'), (2, '[{"id":"b","job_type":"embed","price":7},{"price":1}]'), (0, '[{"id":"b","price":0},{"id":"c"},{"id":"e","job_type":"x","price":5}]'), (3, "no list"), (4, None), (5, "[]")], "document long, records string")
+    got = {r.id: (r.job_type, r.price, r.status) for r in synced(catalogue, feed).collect()}
+    assert got == {"a": ("embed", 1, "same"), "b": ("embed", 7, "updated"), "c": (None, None, "same"), "d": ("embed", 4, "removed"), "e": ("x", 5, "inserted")}
