@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import files
 
@@ -17,7 +17,7 @@ MARKS = "_published"
 def publish(df: DataFrame, path: str, batch: int | str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
     """Writes df as a batch of the table at path. Readers see it, all of it, once its mark is there; a batch of this name from before is gone then."""
     name = batch if isinstance(batch, str) else f"{batch:012d}"
-    folder = f"{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"batch={name}-{uuid.uuid4().hex[:12]}"
     df.write.format(fmt).partitionBy(*by).save(f"{path}/{folder}")
     before = files.get(f"{path}/{MARKS}/{name}")
     files.put(f"{path}/{MARKS}/{name}", folder.encode())
@@ -31,15 +31,11 @@ def batches(path: str) -> dict[str, str]:
 
 
 def published(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", last: bool = False) -> DataFrame:
-    """The rows of all published batches (or of the last one), each with its batch's name."""
+    """The rows of all published batches (or of the last one) in one scan, each with its batch's name in `batch`."""
     found = batches(path)
-    some = dict(sorted(found.items())[-1:]) if last else found
-    if not some:
+    folders = [folder for _, folder in sorted(found.items())[-1 if last else 0 :]]
+    if not folders:
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(""))
-    partitioned = spark.read.schema(schema).format(fmt)
-    folders = {folder: name for name, folder in some.items()}
-    rows = None
-    for folder in folders:  # a plan node per batch: partition values are read from each folder by itself
-        own = partitioned.load(f"{path}/{folder}").withColumn("batch", F.lit(folders[folder]))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+    wide = StructType([*schema.fields, StructField("batch", StringType())])
+    rows = spark.read.schema(wide).format(fmt).option("basePath", path).load([f"{path}/{folder}" for folder in folders])
+    return rows.withColumn("batch", F.regexp_replace("batch", "-[0-9a-f]{12}$", "")).select(*schema.names, "batch")

@@ -23,7 +23,7 @@ def test_a_replayed_batch_replaces_itself(spark):
     write(one, 0)
     assert held(spark, at, one) == before and [i for _, i in before] == [0, 1, 2, 10, 11]
     folders = {f.split("-")[0] for f in batches.batches(at).values()}
-    assert folders == {"000000000000", "000000000001"}
+    assert folders == {"batch=000000000000", "batch=000000000001"}
     write(spark.range(5, 6), 1)
     assert [i for _, i in held(spark, at, one)] == [0, 1, 2, 5]
 

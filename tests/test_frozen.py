@@ -27,7 +27,8 @@ def test_every_touched_scenario_field_is_named(spark):
     cases = [(k, f) for k in range(4) for f in frozen.FIELDS]
     touched = made(spark, len(cases) + 1)
     some = lambda f: F.lit("other") if f == "scenario" else F.lit(77_777_777).cast("long")
-    each = [F.transform("scenarios", lambda s, i, k=k, f=f: F.when(i == k, s.withField(f, some(f))).otherwise(s)) for k, f in cases]
+    touch = lambda k, f: F.transform("scenarios", lambda s, i: F.when(i == k, s.withField(f, some(f))).otherwise(s))
+    each = [touch(k, f) for k, f in cases]
     which = F.col("scenarios")
     for n, changed in enumerate(each):
         which = F.when(F.col("id") == n, changed).otherwise(which)
