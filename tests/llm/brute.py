@@ -66,9 +66,12 @@ def within(a, b, most):
     return row[len(b)] <= most if len(b) in row else False
 
 
-def blocks(n, extra):
+def blocks(n, kind):
+    """The number of blocks; 0 where six blocks count two by two."""
+    if not kind and n <= 16:
+        return 0
     levels = [1, 2, 3, *(k for i in range(2, 16) for k in (1 << i, 3 << i - 1))]
-    return min(k for k in levels if k >= max(1, n // 10)) + extra
+    return min(k for k in levels if k >= max(1, n // 10)) + 4
 
 
 MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„‘’、。，！？：；"
@@ -78,21 +81,23 @@ MARKS = ".,;:!?\"'()[]{}<>*_-…«»“”„‘’、。，！？：；"
 def keys(norm):
     """The blocks of a line: {(kind, number of blocks, block, SimHash of the features that fall in it)}, and its signs."""
     some, out, signs = norm.split(" "), set(), [None, None, None]
-    kinds = [(0, set(some), 2)] if len(some) >= 8 and len(norm) <= 17 * len(some) else []
+    kinds = [(0, set(some))] if len(some) >= 8 and len(norm) <= 17 * len(some) else []
     if len(some) <= 8 or len(norm) >= 14 * len(some):
         whole = re.sub(r"[\W_]+", "", norm) or norm
-        kinds.append((1, {whole[i : i + 2] for i in range(max(1, len(whole) - 1))}, 4))
-    for kind, parts, extra in kinds:
+        kinds.append((1, {whole[i : i + 2] for i in range(max(1, len(whole) - 1))}))
+    for kind, parts in kinds:
         hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for x in parts if (w := x.strip(MARKS)) or kind]
         bits = functools.reduce(int.__or__, (1 << (h >> 58) for h in hashes), 0)
         if kind:
             signs[2] = bits
         else:
             signs[:2] = bits, functools.reduce(int.__or__, (1 << (h >> 58) for h in hashes if h >> 40 & 7 == 0), 0)
-        for m in {blocks(len(parts), extra), blocks(-(-len(parts) * 112 // 100) + 1, extra)}:
-            for block in range(m):
-                if own := [h for h in hashes if signed(h) % m == block]:
-                    out.add((kind, m, block, majority(own)))
+        for m in {blocks(len(parts), kind), blocks(-(-len(parts) * 112 // 100) + 1, kind)}:
+            dealt = [(block, own) for block in range(m or 6) if (own := [h for h in hashes if signed(h) % (m or 6) == block])]
+            if m:
+                out |= {(kind, m, block, majority(own)) for block, own in dealt}
+            else:
+                out |= {(b, majority(x), c, majority(y)) for i, (b, x) in enumerate(dealt) for c, y in dealt[i + 1 :] if (len(x) + len(y)) * 4 >= len(parts)}
     return out, signs
 
 
