@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.entities import Exchange
@@ -219,14 +219,19 @@ def ml_dispatch(e: Exchange) -> DataFrame:
     return e.jobs.select("id", F.coalesce(*[F.when(F.col("job_type") == k, F.lit(k)) for k in ("embed", *RUNNERS)]).alias("runner"))
 
 
+def rate() -> Column:
+    """Slices a second; without bound for a slice of no time, as the SQL has it."""
+    return F.when(F.col("duration_ms") == 0, F.lit(float("inf"))).otherwise(1000.0 / F.nullif("duration_ms", F.lit(0)))
+
+
 @query("""WITH r AS (SELECT worker_id, id, duration_ms, created_at, row_number() OVER (PARTITION BY worker_id ORDER BY created_at, id) AS n FROM durations),
     b AS (SELECT worker_id, avg(1000.0::DOUBLE / duration_ms) AS base FROM r WHERE n <= 2 GROUP BY worker_id),
     l AS (SELECT r.worker_id, r.n, 1000.0::DOUBLE / r.duration_ms < 0.75::DOUBLE * b.base AS low FROM r JOIN b ON b.worker_id = r.worker_id WHERE r.n > 2),
     s AS (SELECT *, low AND lag(low, 1, false) OVER w AND lag(low, 2, false) OVER w AS third FROM l WINDOW w AS (PARTITION BY worker_id ORDER BY n)) SELECT worker_id, min(n) AS alarm_at FROM s WHERE third GROUP BY worker_id""")
 def ml_live_monitor(e: Exchange) -> DataFrame:
     """Where a worker's rate stays under 75 % of its first two slices' mean for the third time in a row."""
-    w = Window.partitionBy("worker_id").orderBy("created_at", "id")
-    ranked = e.durations.select("worker_id", "created_at", "id", (1000.0 / F.col("duration_ms")).alias("rate"), F.row_number().over(w).alias("n"))
+    w = Window.partitionBy("worker_id").orderBy(F.asc_nulls_last("created_at"), F.asc_nulls_last("id"))
+    ranked = e.durations.select("worker_id", "created_at", "id", rate().alias("rate"), F.row_number().over(w).alias("n"))
     base = F.avg(F.when(F.col("n") <= 2, F.col("rate"))).over(Window.partitionBy("worker_id"))
     low = ranked.withColumn("low", F.col("rate") < 0.75 * base).where("n > 2")
     again = [F.lag("low", k, False).over(w) for k in (1, 2)]
@@ -236,7 +241,7 @@ def ml_live_monitor(e: Exchange) -> DataFrame:
 @query("SELECT worker_id, max(rate) AS peak, avg(rate) FILTER (WHERE n > c * 0.75) / avg(rate) FILTER (WHERE n <= greatest(c * 0.25, 1)) >= 0.85 AS thermal_ok FROM (SELECT worker_id, 1000.0::DOUBLE / duration_ms AS rate, row_number() OVER (PARTITION BY worker_id ORDER BY created_at, id) AS n, count(*) OVER (PARTITION BY worker_id) AS c FROM durations) x GROUP BY worker_id")
 def ml_sustained_bench(e: Exchange) -> DataFrame:
     own = Window.partitionBy("worker_id")
-    r = e.durations.select("worker_id", (1000.0 / F.col("duration_ms")).alias("rate"), F.row_number().over(own.orderBy("created_at", "id")).alias("n"), F.count("*").over(own).alias("c"))
+    r = e.durations.select("worker_id", rate().alias("rate"), F.row_number().over(own.orderBy(F.asc_nulls_last("created_at"), F.asc_nulls_last("id"))).alias("n"), F.count("*").over(own).alias("c"))
     mean = lambda c: F.avg(F.when(c, F.col("rate")))
     ok = mean(F.col("n") > F.col("c") * 0.75) / mean(F.col("n") <= F.greatest(F.col("c") * 0.25, F.lit(1))) >= 0.85
     return r.groupBy("worker_id").agg(F.max("rate").alias("peak"), ok.alias("thermal_ok"))
