@@ -62,3 +62,26 @@ def test_results_do_not_hang_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     assert run() == before
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_fanout_plans_once_for_jobs_alike(spark, tmp_path):
+    """Six times the jobs, shifted by 900: the same plans, laid beside the fleet no more often."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators import decisions
+    from millrace.plans.entities import Exchange
+
+    for name in ("supplier", "part", "orders"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "orders":
+            df = df.crossJoin(spark.range(6).select(F.col("id").alias("k"))).withColumn("o_orderkey", F.col("o_orderkey") + F.col("k") * 1800).drop("k")
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    met = []
+    plan = decisions.fanout
+    decisions.fanout = lambda fleet, items: met.append(fleet.count()) or plan(fleet, items)
+    try:
+        one, six = (decisions.al_fanout(Exchange(spark, at)) for at in (SF, str(tmp_path)))
+    finally:
+        decisions.fanout = plan
+    assert met[0] == met[1] > 0 and six.count() == 6 * one.count()
+    same(six, duck(str(tmp_path)), ORACLE_SQL["al_fanout"])
