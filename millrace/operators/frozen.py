@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,12 +68,18 @@ def persisted(incoming: DataFrame, path: str, batch: str) -> DataFrame:
     """
     spark = incoming.sparkSession
     there = batches.published(spark, path, STORED).where(F.col("batch") != batch).select("key", F.col("digest").alias("bound"))
-    rows = incoming.groupBy("key", "digest").agg(F.min("document").alias("document"))
-    first = rows.groupBy("key").agg(F.min("digest").alias("least"))
-    status = F.when(F.col("key").isNull(), "conflict").when(F.col("bound").isNotNull(), F.when(F.col("bound") == F.col("digest"), "same").otherwise("conflict")).when(F.col("digest") == F.col("least"), "inserted").otherwise("conflict")
-    judged = written(rows.join(first, "key", "left").join(there, "key", "left").withColumn("status", status).select("key", "digest", "document", "status"))
-    batches.publish(judged.where("status = 'inserted'").select("key", "digest", "document"), path, batch)
-    return judged.drop("document")
+    rows = incoming.where("key IS NOT NULL").select("key", "digest").repartition("key").distinct()  # one shuffle by key serves all that follows
+    ranked = rows.withColumn("least", F.min("digest").over(Window.partitionBy("key")))
+    status = F.when(F.col("bound").isNotNull(), F.when(F.col("bound") == F.col("digest"), "same").otherwise("conflict")).when(F.col("digest") == F.col("least"), "inserted").otherwise("conflict")
+    nameless = incoming.where("key IS NULL").select("key", "digest").distinct().withColumn("status", F.lit("conflict"))
+    judged = written(ranked.join(there, "key", "left").select("key", "digest", status.alias("status")).unionByName(nameless))
+    new = judged.where("status = 'inserted'").select("key", "digest")
+    if new.isEmpty():
+        documents = spark.createDataFrame([], STORED)
+    else:  # documents are dealt once, and only where there is one to add
+        documents = incoming.select("key", "digest", "document").join(new, ["key", "digest"], "left_semi").groupBy("key", "digest").agg(F.min("document").alias("document"))
+    batches.publish(documents, path, batch)
+    return judged
 
 
 def changed(snapshot: DataFrame) -> DataFrame:
