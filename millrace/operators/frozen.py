@@ -194,6 +194,7 @@ def snk_csv_export(e: Exchange) -> DataFrame:
     ready = e.ledger.where("payout_status = 'ready' AND amount_micros >= 0")
     key = F.when(F.col("job_id") % 13 == 0, " ").otherwise(F.concat(F.lit("payout/"), F.col("task_id")))
     rows = ready.select(F.col("supplier_id").alias("supplier"), F.floor(F.col("amount_micros") / 10_000).cast("long").alias("cents"), F.when(F.col("job_id") % 11 == 0, "eur").otherwise("usd").alias("currency"), F.col("created_at").alias("at"), key.alias("key"), "job_id", "task_id")
+    rows = written(rows)  # the few instructions of the ledger, which both runs read: it is put together once
     exported(rows.where("job_id % 3 <> 0"), path, "first")
     more = rows.withColumn("cents", F.col("cents") + F.when(F.col("job_id") % 5 == 0, 1).otherwise(0))
     told = exported(more, path, "second")

@@ -91,3 +91,18 @@ def test_a_run_that_is_cut_off_writes_nothing(spark):
     with pytest.raises(Exception, match="executor lost"):
         frozen.exported(bad, path, "a")
     assert lines(spark, path) == []
+
+
+def test_export_puts_the_ledger_together_once(spark, monkeypatch):
+    """Both runs read instructions that are a table already: no shuffle of tasks, jobs or the ledger stands before them."""
+    import __spark_entry__
+
+    plans, real = [], frozen.exported
+
+    def seen(instructions, *how):
+        plans.append(instructions._jdf.queryExecution().executedPlan().toString())
+        return real(instructions, *how)
+
+    monkeypatch.setattr(frozen, "exported", seen)
+    __spark_entry__.queries()["snk_csv_export"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
