@@ -6,7 +6,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 from pathlib import Path
 
 import ahocorasick
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: What a task remembers before it starts afresh: stretches of text (up to so many characters) and pairs of pieces. Results do not hang on it.
 MEMO, MEMO_CHARS = 400_000, 64
+#: Cost of neighbours that make no piece.
+NEVER = float("inf")
 #: Rows of an outgoing batch.
 ROWS = 200
 
@@ -49,7 +51,8 @@ class Encoder:
     def __init__(self, ranks: dict[str, float], ids: dict[str, int], byte_ids: list[int]):
         self.ranks, self.ids, self.byte_ids = ranks, ids, byte_ids
         self.matches = ahocorasick.Automaton()
-        for piece in ranks:
+        longer = [p for p in ranks if len(p) > 1]  # a place where none begins has its character
+        for piece in longer or ranks:
             self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in ranks), p[0]) for p in ranks if len(p) > 1}
@@ -70,16 +73,17 @@ class Encoder:
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by the best rank, the leftmost of equals first, until no neighbours make a piece."""
-        parts = list(text)
-        while True:
-            best = at = None
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if at is None:
-                return parts
+        parts, rank = list(text), self.ranks.get
+        costs = [rank(x + y, NEVER) for x, y in pairwise(parts)]  # of each two neighbours; a merge changes those beside it only
+        while costs and (best := min(costs)) != NEVER:
+            at = costs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+            if at < len(costs):
+                costs[at] = rank(parts[at] + parts[at + 1], NEVER)
+        return parts
 
     def agree(self, before: str, piece: str) -> bool:
         """Whether two pieces (nothing before the first) come out again when their text is merged anew."""
@@ -92,30 +96,33 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of one stretch; a character that is no piece stands for itself."""
-        n = len(text)
-        longest = array("i", [1]) * n
+        n, apart, shorter = len(text), self.apart.get, self.shorter.get
+        longest = [1] * n if n <= MEMO_CHARS else array("i", [1]) * n
         for end, size in self.matches.iter(text):
             at = end - size + 1
             if size > longest[at]:
                 longest[at] = size
-        failed = bytearray((n >> 3) + 1)
-        out, at = [], 0
+        failed = bytearray(n + 1)
+        out, at, before = [], 0, ""
         piece: str | None = text[: longest[0]]
         while at < n:
             while piece is not None:
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and self.agree(out[-1] if out else "", piece):
-                    break
-                piece = self.shorter.get(piece)
+                if not failed[to]:
+                    good = apart((before, piece))
+                    if good if good is not None else self.agree(before, piece):
+                        break
+                piece = shorter(piece)
             if piece is not None:
                 out.append(piece)
-                at += len(piece)
+                at, before = to, piece
                 piece = text[at : at + longest[at]] if at < n else None
             else:
-                failed[at >> 3] |= 1 << (at & 7)
+                failed[at] = 1
                 last = out.pop()
                 at -= len(last)
-                piece = self.shorter.get(last)
+                before = out[-1] if out else ""
+                piece = shorter(last)
         return out
 
     def numbers(self, text: str) -> tuple[int, ...]:

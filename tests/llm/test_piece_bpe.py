@@ -83,3 +83,17 @@ def test_memory_of_a_task_is_bounded(monkeypatch):
         assert encoder.encode(library.normalize(text)) == library.encode(text)
         assert len(encoder.known) <= 50 and len(encoder.apart) <= 50
     assert sys.getsizeof(encoder.apart) < 1 << 20
+
+
+def test_a_merge_looks_up_its_own_neighbours_only():
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *key):
+            Counted.seen += 1
+            return super().get(*key)
+
+    ranks = {p: float(-len(p)) for p in ("a", "b", "ab", "abab")}
+    encoder = piece_bpe.Encoder(ranks, {p: i for i, p in enumerate(ranks)}, list(range(256)))
+    encoder.ranks = Counted(ranks)
+    assert encoder.merged("ab" * 200) == ["abab"] * 100 and Counted.seen < 2_000
