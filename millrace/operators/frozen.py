@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,34 +48,44 @@ def built(df: DataFrame) -> DataFrame:
     return df.withColumns({"charge": micros(F.col("charge")), "payout": micros(F.col("payout")), "executable": least >= -1})
 
 
+def inputs(e: Exchange) -> DataFrame:
+    """id, and what a plan is built from, of every job."""
+    return e.jobs.select("id", (F.col("id") % 9 + 1).alias("n"), (F.col("id") % 3).alias("extra"), F.col("estimated_micros").alias("base"), F.col("sla_premium_micros").alias("premium"))
+
+
 def plans(e: Exchange) -> DataFrame:
-    jobs = e.jobs.select("id", (F.col("id") % 9 + 1).alias("n"), (F.col("id") % 3).alias("extra"), F.col("estimated_micros").alias("base"), F.col("sla_premium_micros").alias("premium"))
-    return built(jobs)
+    return built(inputs(e))
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """key, digest, document: a plan as JSON of whole numbers in a fixed order of fields, and its SHA-256."""
+def _canonical() -> tuple[Column, Column]:
+    """digest, document of a plan: JSON of whole numbers in a fixed order of fields, and its SHA-256."""
     text = F.to_json(F.struct("id", *INPUT, "charge", "payout", "executable", "scenarios"))
-    return df.select(F.col("id").cast("string").alias("key"), F.sha2(text, 256).alias("digest"), text.alias("document"))
+    return F.sha2(text, 256), text
 
 
 STORED = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "digest", "document")])
 
 
-def persisted(incoming: DataFrame, path: str, batch: str) -> DataFrame:
+def persisted(incoming: DataFrame, path: str, batch: str, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """key, digest, status of every distinct (key, digest) of incoming, after what is new was added to the store: inserted, same, or conflict (the key is bound to another digest).
 
+    incoming has key, digest and document; or key and columns from which `made` gives a SHA-256 in hex as digest, and the
+    document, to each row by itself. Then only those columns are shuffled and kept, documents are made where they are written,
+    and digests where they are compared.
+
     Nothing in the store ever changes. A batch that is run again decides as it did, for it does not see itself. Of several
     digests of a new key the least is kept and the others are conflicts. Null keys are conflicts always.
     """
     spark = incoming.sparkSession
-    there = batches.published(spark, path, STORED).where(F.col("batch") != batch).select("key", F.col("digest").alias("bound"))
-    rows = incoming.groupBy("key", "digest").agg(F.min("document").alias("document"))
-    first = rows.groupBy("key").agg(F.min("digest").alias("least"))
-    status = F.when(F.col("key").isNull(), "conflict").when(F.col("bound").isNotNull(), F.when(F.col("bound") == F.col("digest"), "same").otherwise("conflict")).when(F.col("digest") == F.col("least"), "inserted").otherwise("conflict")
-    judged = written(rows.join(first, "key", "left").join(there, "key", "left").withColumn("status", status).select("key", "digest", "document", "status"))
-    batches.publish(judged.where("status = 'inserted'").select("key", "digest", "document"), path, batch)
-    return judged.drop("document")
+    short = F.unhex if made else F.col
+    there = batches.published(spark, path, STORED).where(F.col("batch") != batch).select("key", short("digest").alias("bound"))
+    made = made or (lambda df: df)
+    rows = made(incoming.repartition("key")).select("digest", *[c for c in incoming.columns if c != "digest"]).dropDuplicates(["key", "digest"])
+    rows = rows.withColumn("least", F.min("digest").over(Window.partitionBy("key")))
+    status = F.when(F.col("key").isNull(), "conflict").when(F.col("bound").isNotNull(), F.when(F.col("bound") == short("digest"), "same").otherwise("conflict")).when(F.col("digest") == F.col("least"), "inserted").otherwise("conflict")
+    judged = written(rows.join(there, "key", "left").withColumn("status", status).select(*incoming.columns, "status"))
+    batches.publish(made(judged.where("status = 'inserted'")).select("key", "digest", "document"), path, batch, codec="zstd")
+    return made(judged).select("key", "digest", "status")
 
 
 def changed(snapshot: DataFrame) -> DataFrame:
@@ -109,9 +121,14 @@ _DIGESTS = """d AS (SELECT id, sha256(concat('{"id":', id, ',"n":', n, ',"extra"
     CASE WHEN id % 10 = 4 THEN 'conflict' ELSE 'same' END AS third FROM d""")
 def tr_plan_persist(e: Exchange) -> DataFrame:
     """The digest that the store has of every plan, and what three runs said: half of the plans, all of them (a tenth touched), and all again."""
-    path, good = new_path(e.spark), plans(e)
-    touched = canonical(good.withColumn("payout", F.when(F.col("id") % 10 == 4, F.col("payout") + 1).otherwise(F.col("payout"))))
-    runs = [persisted(canonical(good.where("id % 2 = 0")), path, "0001"), persisted(touched, path, "0002"), persisted(touched, path, "0003")]
+    path, rows = new_path(e.spark), inputs(e).withColumn("key", F.col("id").cast("string"))
+    good, touched = rows.withColumn("more", F.lit(0)), rows.withColumn("more", F.when(F.col("id") % 10 == 4, 1).otherwise(0))
+
+    def made(df: DataFrame) -> DataFrame:
+        plan = built(df).withColumn("payout", F.col("payout") + F.col("more"))
+        return plan.select(*df.columns, *[c.alias(n) for n, c in zip(("digest", "document"), _canonical(), strict=True)])
+
+    runs = [persisted(good.where("id % 2 = 0"), path, "0001", made), persisted(touched, path, "0002", made), persisted(touched, path, "0003", made)]
     store = batches.published(e.spark, path, STORED).select("key", "digest")
     for name, run in zip(("first", "second", "third"), runs, strict=True):
         store = store.join(run.select("key", F.col("status").alias(name)), "key", "left")

@@ -14,11 +14,11 @@ from . import files
 MARKS = "_published"
 
 
-def publish(df: DataFrame, path: str, batch: int | str, fmt: str = "parquet", by: tuple[str, ...] = ()) -> None:
-    """Writes df as a batch of the table at path. Readers see it, all of it, once its mark is there; a batch of this name from before is gone then."""
+def publish(df: DataFrame, path: str, batch: int | str, fmt: str = "parquet", by: tuple[str, ...] = (), codec: str | None = None) -> None:
+    """Writes df as a batch of the table at path, compressed by codec or as the session has it. Readers see it, all of it, once its mark is there; a batch of this name from before is gone then."""
     name = batch if isinstance(batch, str) else f"{batch:012d}"
     folder = f"batch={name}-{uuid.uuid4().hex[:12]}"
-    df.write.format(fmt).partitionBy(*by).save(f"{path}/{folder}")
+    df.write.format(fmt).options(**({"compression": codec} if codec else {})).partitionBy(*by).save(f"{path}/{folder}")
     before = files.get(f"{path}/{MARKS}/{name}")
     files.put(f"{path}/{MARKS}/{name}", folder.encode())
     if before is not None:

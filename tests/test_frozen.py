@@ -106,3 +106,24 @@ def test_export_puts_the_ledger_together_once(spark, monkeypatch):
     monkeypatch.setattr(frozen, "exported", seen)
     __spark_entry__.queries()["snk_csv_export"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 2 and not any("Exchange" in p for p in plans)
+
+
+def test_documents_are_made_where_they_are_written(spark, monkeypatch):
+    """What runs decide on is shuffled and kept without documents, which the store alone has."""
+    import __spark_entry__
+
+    tables, real = [], frozen.written
+    monkeypatch.setattr(frozen, "written", lambda df: tables.append(df.columns) or real(df))
+    out = __spark_entry__.queries()["tr_plan_persist"](spark, "/root/testdata/sf0.001")
+    assert len(tables) == 3 and not any({"document", "digest"} & set(columns) for columns in tables) and out.count() > 0
+
+
+def test_a_store_of_made_documents(spark):
+    """Rows of which digests and documents are made are told the same as rows that have them, null and repeated keys included."""
+    made = lambda df: df.select("*", F.sha2(F.concat_ws("/", "key", "v"), 256).alias("digest"), F.concat_ws("/", "key", "v").alias("document"))
+    paths = [new_path(spark), new_path(spark)]
+    for batch, some in (("1", [("a", 1), ("b", 1), ("b", 1), (None, 9), (None, 9)]), ("2", [("a", 1), ("b", 2), ("c", 5), ("c", 4), (None, 9)]), ("2", [("c", 4), ("c", 5), ("d", None)]), ("3", [("a", 1), ("a", 2), ("c", 5), ("c", 4)])):
+        rows = spark.createDataFrame(some, "key string, v int")
+        plain, lean = frozen.persisted(made(rows).drop("v"), paths[0], batch), frozen.persisted(rows, paths[1], batch, made)
+        assert sorted(map(str, lean.collect())) == sorted(map(str, plain.collect()))
+        assert lean.count() == len(set(some)) and held(spark, paths[0]) == held(spark, paths[1])
